@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from graphloom.llm import bpe
+from graphloom.llm import bpe, simhash
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op9_simhash": simhash.op9_simhash,
 }
 
 #: Only what SQL can express; the tests hold the others against brute force.
