@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from graphloom.llm import bpe, simhash
+from graphloom.llm import bpe, simhash, substring
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op9_simhash": simhash.op9_simhash,
+    "op10_substring": substring.op10_substring,
 }
 
 #: Only what SQL can express; the tests hold the others against brute force.
