@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from graphloom.llm import bpe, simhash, substring
+from graphloom.llm import bpe, mixing, sharding, simhash, substring
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op4_mixing": mixing.op4_mixing,
+    "op7_sharding": sharding.op7_sharding,
     "op9_simhash": simhash.op9_simhash,
     "op10_substring": substring.op10_substring,
 }
 
 #: Only what SQL can express; the tests hold the others against brute force.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_mixing": mixing.OP4_SQL}
