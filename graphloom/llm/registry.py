@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from graphloom.llm import bpe, language, mixing, quality, sharding, simhash, substring
+from graphloom.llm import ann, bpe, language, mixing, quality, sharding, simhash, substring
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_quality": quality.op2_quality,
     "op3_language": language.op3_language,
     "op4_mixing": mixing.op4_mixing,
+    "op5_ann": ann.op5_ann,
     "op7_sharding": sharding.op7_sharding,
     "op9_simhash": simhash.op9_simhash,
     "op10_substring": substring.op10_substring,
