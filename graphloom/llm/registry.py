@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import ann, bpe, language, mixing, quality, sharding, simhash, substring
+from graphloom.llm import ann, bpe, language, mixing, quality, sharding, simhash, substring, voronoi
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -11,9 +11,10 @@ QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op5_ann": ann.op5_ann,
     "op7_sharding": sharding.op7_sharding,
+    "op8_topk": voronoi.op8_topk,
     "op9_simhash": simhash.op9_simhash,
     "op10_substring": substring.op10_substring,
 }
 
 #: Only what SQL can express; the tests hold the others against brute force.
-SQL: dict[str, str] = {"op4_mixing": mixing.OP4_SQL}
+SQL: dict[str, str] = {"op4_mixing": mixing.OP4_SQL, "op8_topk": voronoi.OP8_SQL}
