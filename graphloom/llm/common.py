@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.ml.feature import Bucketizer
@@ -57,9 +58,11 @@ def hash_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     )
 
 
-def range_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def range_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, whole: bool = False) -> DataFrame:
     """doc_id, text and a block number that never falls as doc_id rises; null ids come last.
 
+    ``whole`` adds the struct rest of all columns but text.
+
     The bounds are doc_id quantiles, so ids may be spread unevenly.  Only the bounds,
     one number a block, reach the driver.
     """
@@ -69,7 +72,9 @@ def range_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         cuts = [k / n for k in range(1, n)]
         found = docs.agg(F.percentile_approx("doc_id", cuts, max(10_000, 4 * n))).first()[0]
         bounds = sorted(set(found or []))
-    narrow = docs.select("doc_id", "text")
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest")
+    columns = ["doc_id", "text", "rest"] if whole else ["doc_id", "text"]
+    narrow = docs.select("doc_id", "text", *[rest] * whole)
     if not bounds:
         return narrow.withColumn("block", F.lit(0))
     # A binary search in the JVM.  Doubles keep the order of longs, which is all that matters.
@@ -77,7 +82,7 @@ def range_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     found = Bucketizer(splits=edges, inputCol="_at", outputCol="_block").transform(
         narrow.withColumn("_at", F.col("doc_id").cast("double"))
     )
-    return found.select("doc_id", "text", F.coalesce("_block", F.lit(len(edges) - 1)).cast("int").alias("block"))
+    return found.select(*columns, F.coalesce("_block", F.lit(len(edges) - 1)).cast("int").alias("block"))
 
 
 def single_thread() -> None:
@@ -101,3 +106,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(33))
     x = x * np.uint64(0xC4CEB9FE1A85EC53)
     return x ^ (x >> np.uint64(33))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write as Parquet in the shared folder and read again: a cut in the lineage that survives executors."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
+    path = f"{sc.getCheckpointDir().rstrip('/')}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -154,26 +154,41 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     held = sc.broadcast(model)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
         for b in batches:
-            ids = b.column("doc_id")
-            texts = [t or b"" for t in arrow_texts(b.column("text"))]
-            langs, scores = ["und"] * len(texts), np.zeros(len(texts))
-            rows = [i for i, t in enumerate(texts) if has_letter(t)] if model else []
-            for at in range(0, len(rows), BATCH):
-                part = rows[at : at + BATCH]
-                found = model.scores([texts[i] for i in part])
-                best = found.argmax(axis=1)
-                for i, k in zip(part, best.tolist(), strict=True):
-                    langs[i] = model.languages[k]
-                scores[part] = found[np.arange(len(part)), best]
+            langs, scores = predict(held.value, [t or b"" for t in arrow_texts(b.column("text"))])
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(langs), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"]
+                [b.column("doc_id"), pa.array(langs), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"]
             )
 
     return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, lang_pred string, score double")
 
 
+def predict(model: Model | None, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
+    langs, scores = ["und"] * len(texts), np.zeros(len(texts))
+    rows = [i for i, t in enumerate(texts) if has_letter(t)] if model else []
+    for at in range(0, len(rows), BATCH):
+        part = rows[at : at + BATCH]
+        found = model.scores([texts[i] for i in part])
+        best = found.argmax(axis=1)
+        for i, k in zip(part, best.tolist(), strict=True):
+            langs[i] = model.languages[k]
+        scores[part] = found[np.arange(len(part)), best]
+    return langs, scores
+
+
+def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of docs, unchanged, that have a language; those that are ``und`` go."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            langs, _ = predict(held.value, [t or b"" for t in arrow_texts(b.column(at))])
+            yield b.filter(pa.array([x != "und" for x in langs], pa.bool_()))
+
+    return docs.mapInArrow(each, docs.schema)
+
+
 def op3_language(spark, sf_dir: str) -> DataFrame:
     from graphloom.llm.common import table
 

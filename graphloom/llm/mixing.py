@@ -68,7 +68,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 def mix(
     docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST
 ) -> DataFrame:
-    """doc_id, size, source_size, target and taken, the words that the mix takes of the row."""
+    """doc_id, source, size, copy (MD5 of the text), source_size, target and taken, the words the mix takes of the row."""
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     sized = durable(
         docs.select(
@@ -76,6 +76,7 @@ def mix(
             "source",
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             key.alias("key"),
+            F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("copy"),
         )
     )
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
@@ -99,7 +100,7 @@ def mix(
     )
     inside = (
         Window.partitionBy(*group)
-        .orderBy("key", F.col("doc_id").asc_nulls_last(), "size")
+        .orderBy("key", F.col("doc_id").asc_nulls_last(), "size", "copy")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     summed = placed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(
@@ -109,7 +110,34 @@ def mix(
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     rest = budget - whole * F.col("source_size") - F.col("earlier") - F.col("inside")
     taken = whole * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0), rest))
-    return summed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return summed.select("doc_id", "source", "size", "copy", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it; the one at the cut comes whole.
+
+    Rows with the same doc_id, source and text count as one that is taken as often as all
+    of them.  Rows of size zero are taken never.
+    """
+    times = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0)
+    plan = (
+        mix(docs, weights, share, most)
+        .groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("copy").alias("_c"))
+        .agg(F.sum(times).cast("int").alias("_times"))
+        .filter("_times > 0")
+    )
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_rest")
+    keyed = docs.select(
+        rest,
+        F.col("doc_id").alias("_i"),
+        F.col("source").alias("_o"),
+        F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("_t"),
+    ).dropDuplicates(["_i", "_o", "_t"])
+    return (
+        keyed.join(plan, F.expr("_i <=> _d AND _o <=> _s AND _t = _c"))
+        .select("_rest", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+        .select("_rest.*")
+    )
 
 
 def _few(aims: DataFrame, most: int = 20_000) -> bool:
@@ -120,7 +148,7 @@ def _few(aims: DataFrame, most: int = 20_000) -> bool:
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
     from graphloom.llm.common import table
 
-    return mix(table(spark, sf_dir, "documents")).drop("source")
+    return mix(table(spark, sf_dir, "documents")).drop("source", "copy")
 
 
 OP4_SQL = r"""

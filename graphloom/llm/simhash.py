@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from graphloom.llm.common import arrow_texts, durable
 
@@ -196,22 +197,43 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
+def groups(of_doc: DataFrame) -> DataFrame:
+    """fp, root (its component) and least, the smallest doc_id of the component; one row a fingerprint."""
+    distinct = of_doc.groupBy("fp").agg(F.min("doc_id").alias("own"))
+    tied = components(links(distinct.select("fp")))
+    rooted = distinct.join(tied, distinct.fp == tied.id, "left").select("fp", "own", F.coalesce("root", "fp").alias("root"))
+    return rooted.join(rooted.groupBy("root").agg(F.min("own").alias("least")), "root").select("fp", "root", "least")
+
+
 def near_duplicates(docs: DataFrame, words_in_shingle: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable by links."""
     of_doc = durable(fingerprints(docs, words_in_shingle))
-    distinct = of_doc.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    tied = components(links(distinct.select("fp")))
-    rooted = distinct.join(tied, distinct.fp == tied.id, "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(
-        "fp", "component_id"
-    )
-    return of_doc.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    return of_doc.join(groups(of_doc), "fp").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id")
     )
 
 
+def one_of_each(docs: DataFrame, words_in_shingle: int = 3) -> DataFrame:
+    """The rows of docs, unchanged, less all but one of each component: the one with the smallest doc_id.
+
+    The fingerprints are computed a second time next to the texts, which is cheaper than
+    to keep the texts with them.  Only rows with a component's smallest id go into the
+    last step, so a group of copies is gone before rows meet by component.
+    """
+    known = groups(durable(fingerprints(docs, words_in_shingle)))
+    at = docs.columns.index("text")
+    schema = StructType([StructField("rest", docs.schema), StructField("fp", LongType())])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [fingerprint(t or b"", words_in_shingle) for t in arrow_texts(b.column(at))]
+            rest = pa.StructArray.from_arrays(b.columns, fields=list(b.schema))
+            yield pa.RecordBatch.from_arrays([rest, pa.array(found, pa.int64())], names=["rest", "fp"])
+
+    kept = docs.mapInArrow(each, schema).join(known, "fp").filter("rest.doc_id <=> least")
+    return kept.dropDuplicates(["root"]).select("rest.*")
+
+
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
     from graphloom.llm.common import table
 

@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from graphloom.llm.common import arrow_texts, mix64, range_blocks
 
@@ -87,6 +88,7 @@ class Block:
             texts += arrow_texts(b.column("text"))
         late = 1 << 63
         rows = sorted(range(len(ids)), key=lambda i: (late if ids[i] is None else ids[i], texts[i] or b""))
+        self.order = rows
         self.ids = [ids[i] for i in rows]
         self.texts = [texts[i] or b"" for i in rows]
         self.hashes = [_word_hashes(t.split()) for t in self.texts]
@@ -181,15 +183,14 @@ def _shared(groups: list[tuple[int, np.ndarray]]) -> list[tuple[int, np.ndarray,
     return [(int(block[p[0]]), columns[p], lowest[p]) for p in parts]
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of every row; with_text adds kept, the words that stay.
+def remove_repeats(docs: DataFrame, whole: bool = True) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every row; ``whole`` adds kept and rest.
 
     kept_sha256 is of the kept words joined by one space; so is kept, but for texts that lose
-    nothing, which come back as they are (null as null).
+    nothing, which come back as they are.  rest is the struct of all columns but text.
     """
-    blocks = range_blocks(docs)
-    n = blocks.agg(F.max("block"), F.count("*")).first()
-    buckets = max(1, (n[0] or 0) + 1)
+    blocks = range_blocks(docs, whole=whole)
+    buckets = 1 + (blocks.agg(F.max("block")).first()[0] or 0)
 
     def scan(group: pa.Table) -> pa.Table:
         block = group.column("block")[0].as_py()
@@ -266,13 +267,33 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
         names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
         found = pa.Table.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
-        return found if with_text else found.drop_columns(["kept"])
+        if not whole:
+            return found.drop_columns(["kept"])
+        return found.append_column("rest", left.column("rest").take(pa.array(block.order, pa.int64())))
 
-    kind = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
+    kind = StructType().add("doc_id", "long").add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
+    if whole:
+        kind = kind.add("kept", "string").add("rest", blocks.schema["rest"].dataType)
     return blocks.groupBy("block").cogroup(nodes.groupBy("block")).applyInArrow(remove, kind)
 
 
+def cleaned(docs: DataFrame) -> DataFrame:
+    """The rows of docs without their repeats: text, and n_chars where there is one, are new if words went."""
+    found = remove_repeats(docs)
+    lost = F.col("n_removed") > 0
+
+    def column(name: str) -> F.Column:
+        if name == "text":
+            return F.col("kept").alias("text")
+        old = F.col("rest").getField(name)
+        if name == "n_chars":
+            return F.when(lost, F.length("kept")).otherwise(old).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+        return old.alias(name)
+
+    return found.select(*[column(c) for c in docs.columns])
+
+
 def op10_substring(spark, sf_dir: str) -> DataFrame:
     from graphloom.llm.common import table
 
-    return remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+    return remove_repeats(table(spark, sf_dir, "documents"), whole=False)
