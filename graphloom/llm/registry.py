@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import ann, bpe, language, mixing, quality, sharding, simhash, substring, voronoi
+from graphloom.llm import ann, bpe, language, license, mixing, quality, sharding, simhash, substring, voronoi
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_language": language.op3_language,
     "op4_mixing": mixing.op4_mixing,
     "op5_ann": ann.op5_ann,
+    "op6_license": license.op6_license,
     "op7_sharding": sharding.op7_sharding,
     "op8_topk": voronoi.op8_topk,
     "op9_simhash": simhash.op9_simhash,
@@ -17,4 +18,4 @@ QUERIES = {
 }
 
 #: Only what SQL can express; the tests hold the others against brute force.
-SQL: dict[str, str] = {"op4_mixing": mixing.OP4_SQL, "op8_topk": voronoi.OP8_SQL}
+SQL: dict[str, str] = {"op4_mixing": mixing.OP4_SQL, "op6_license": license.OP6_SQL, "op8_topk": voronoi.OP8_SQL}
