@@ -1,4 +1,4 @@
-"""All queries over the reference tables and the SQL that checks each."""
+"""All queries over the code-knowledge tables and the SQL that checks each."""
 
 from __future__ import annotations
 
@@ -6,6 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.plans import analytics, lookups, scoring, traversals
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-FLAGSHIP = "r2_bus_factor"
+for _part in (lookups, analytics, traversals, scoring):
+    QUERIES |= _part.PLANS.queries
+    SQL |= _part.PLANS.sql
+
+FLAGSHIP = "a03_most_called"
