@@ -42,23 +42,52 @@ PREFIX = 8
 #: Suffixes that one group may hold before its prefix grows.
 GROUP_SUFFIXES = 1 << 21
 _BASES = [np.uint64(int(x) | 1) for x in np.random.default_rng(8).integers(1 << 62, 1 << 63, 2)]
-_KNOWN: dict[bytes, int] = {}
-REMEMBERED = 1_500_000
-
-
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    import xxhash
-
-    known = _KNOWN
-    if len(known) > REMEMBERED:
-        known.clear()
-    try:
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    except KeyError:
-        for w in set(words):
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w, 7)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+#: Bytes whose word hashes are computed at once.
+SEGMENT = 1 << 18
+_BYTE = 0x9E3779B97F4A7C15 | 1
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0, 1, ... modulo 2^64, at least n of them."""
+    known = _POWERS.get(base)
+    if known is None or len(known) < n:
+        steps = np.full(max(n, SEGMENT + 1), base % (1 << 64), np.uint64)
+        steps[0] = 1
+        known = _POWERS[base] = np.cumprod(steps)
+    return known
+
+
+def _space(raw: np.ndarray) -> np.ndarray:
+    return (raw - np.uint8(9) < 5) | (raw == 32)
+
+
+def _words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of all words of some bytes: polynomials of the bytes, from prefix sums."""
+    inverse = pow(_BYTE, -1, 1 << 64)
+    hashes, places = [], []
+    at, n = 0, len(raw)
+    while at < n:
+        end = min(n, at + SEGMENT)
+        while end < n and not _space(raw[end - 1 : end])[0]:  # end behind white space
+            back = np.flatnonzero(_space(raw[at:end]))
+            if len(back):
+                end = at + int(back[-1]) + 1
+            else:
+                end = min(n, end + SEGMENT)
+        part = raw[at:end]
+        inside = np.zeros(len(part) + 2, np.int8)
+        inside[1:-1] = ~_space(part)
+        turn = np.diff(inside)
+        first, last = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _powers(_BYTE, len(part))[: len(part)], out=sums[1:])
+        value = (sums[last] - sums[first]) * _powers(inverse, len(part))[first]
+        hashes.append(mix64(value + (last - first).astype(np.uint64) * _BASES[0]))
+        places.append(first + at)
+        at = end
+    none = np.zeros(0, np.uint64)
+    return np.concatenate([*hashes, none]), np.concatenate([*places, none.astype(np.int64)])
 
 
 def _rolled(w: np.ndarray, length: int, base: np.uint64) -> np.ndarray:
@@ -91,12 +120,10 @@ class Block:
         self.order = rows
         self.ids = [ids[i] for i in rows]
         self.texts = [texts[i] or b"" for i in rows]
-        self.hashes = [_word_hashes(t.split()) for t in self.texts]
-        self.counts = np.array([len(h) for h in self.hashes], np.int64)
+        lengths = np.array([len(t) + 1 for t in self.texts], np.int64)
+        w, places = _words(np.frombuffer(b"\n".join([*self.texts, b""]), np.uint8))
         #: Where each document's words start among those of the block.
-        self.starts = np.concatenate([[0], np.cumsum(self.counts)])
-        w = np.concatenate([*self.hashes, np.zeros(0, np.uint64)])
-        self.hashes = []
+        self.starts = np.searchsorted(places, np.concatenate([[0], np.cumsum(lengths)]))
         n = max(0, len(w) - WINDOW + 1)
         inside = np.ones(n, bool)  # windows that don't leave their document
         for end in self.starts[1:-1]:
@@ -122,27 +149,51 @@ class Block:
     def suffixes(self, shared: np.ndarray) -> np.ndarray:
         """Distinct windows (n, 2) whose pruning key other blocks hold too."""
         keep = np.isin(self.least, shared)
-        pairs = np.stack([self.top[keep], self.below[keep]], axis=1)
-        return pairs[_first_of_each(pairs)]
+        top, below = self.top[keep], self.below[keep]
+        first = _first_flags(top, below)
+        return np.stack([top[first], below[first]], axis=1)
 
     def repeats(self, foreign: np.ndarray) -> np.ndarray:
         """A flag for each word: whether a window covers it that starts earlier here or in a lower block."""
-        pairs = np.stack([self.top, self.below], axis=1)
-        again = np.ones(len(pairs), bool)
-        again[_first_of_each(pairs)] = False
+        again = ~_first_flags(self.top, self.below)
         if len(foreign):
-            both = np.concatenate([foreign, pairs])
-            _, which = np.unique(both.view([("a", np.uint64), ("b", np.uint64)]).ravel(), return_inverse=True)
-            which = which.ravel()
-            told = np.zeros(which.max() + 1, bool)
-            told[which[: len(foreign)]] = True
-            again |= told[which[len(foreign) :]]
-        edge = np.zeros(self.starts[-1] + 1, np.int64)
-        np.add.at(edge, self.at[again], 1)
-        np.add.at(edge, self.at[again] + WINDOW, -1)
+            # Hashed to a table of bits first: most windows of the block are nowhere else.
+            foreign = foreign[np.lexsort((foreign[:, 1], foreign[:, 0]))]
+            wide = np.uint64(64 - max(10, int(len(foreign) * 16).bit_length()))
+            there = np.zeros(1 << int(np.uint64(64) - wide), bool)
+            there[(foreign[:, 1] * _BASES[0]) >> wide] = True
+            maybe = np.flatnonzero(~again & there[(self.below * _BASES[0]) >> wide])
+            top, below = self.top[maybe], self.below[maybe]
+            at = np.searchsorted(foreign[:, 0], top)
+            while len(maybe):  # several nodes can share their first edge
+                at = np.minimum(at, len(foreign) - 1)
+                same = foreign[at, 0] == top
+                again[maybe[same & (foreign[at, 1] == below)]] = True
+                go = same & (foreign[at, 1] < below) & (at + 1 < len(foreign))
+                maybe, top, below, at = maybe[go], top[go], below[go], at[go] + 1
+        edge = np.zeros(self.starts[-1] + 1, np.int32)
+        edge[self.at[again]] += 1  # every window has a place of its own
+        edge[self.at[again] + WINDOW] -= 1
         return np.cumsum(edge)[:-1] > 0
 
 
+def _first_flags(top: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """Whether each pair stands first among its equals."""
+    first = np.ones(len(top), bool)
+    if not len(top):
+        return first
+    # Both edges in one number: where that is unique so is the pair.
+    key = top ^ (below * _BASES[1])
+    order = np.argsort(key)
+    same = np.flatnonzero(key[order][1:] == key[order][:-1])
+    if len(same):
+        rows = np.unique(np.concatenate([order[same], order[same + 1]]))
+        pairs = np.stack([top[rows], below[rows]], axis=1)
+        first[rows] = False
+        first[rows[_first_of_each(pairs)]] = True
+    return first
+
+
 def _first_of_each(pairs: np.ndarray) -> np.ndarray:
     """Rows at which each distinct pair stands first."""
     if not len(pairs):
@@ -256,8 +307,8 @@ def remove_repeats(docs: DataFrame, whole: bool = True) -> DataFrame:
         out: list[list] = [[], [], [], [], []]
         for i, (doc_id, text) in enumerate(zip(block.ids, block.texts, strict=True)):
             mine = gone[block.starts[i] : block.starts[i + 1]]
-            words = text.split()
-            lost = int(mine.sum())
+            words = text.split()  # at the same bytes as above
+            lost = int(np.count_nonzero(mine))
             if lost:
                 words = [w for w, g in zip(words, mine.tolist(), strict=True) if not g]
             kept = b" ".join(words)
