@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from graphloom.functions.numeric import steps
 
@@ -27,6 +28,10 @@ def impact(files: Column, entities: Column, class_changes: Column) -> Column:
     return F.when(points > 20, "high").when(points > 5, "medium").otherwise("low")
 
 
+def _with(rows: DataFrame, name: str) -> StructType:
+    return StructType([*rows.schema.fields, StructField(name, LongType())])
+
+
 def anchored_sessions(events: DataFrame, gap_seconds: float, session: str = "session_id") -> DataFrame:
     """Adds part, the number of the session that an event falls in within its session_id, newest first.
 
@@ -50,7 +55,7 @@ def anchored_sessions(events: DataFrame, gap_seconds: float, session: str = "ses
         return group
 
     rows = events.select(session, "seq", "at", "event_type")
-    return rows.groupBy(session).applyInPandas(fold, rows.schema.add("part", "long"))
+    return rows.groupBy(session).applyInPandas(fold, _with(rows, "part"))
 
 
 def gap_sessions(events: DataFrame, gap_seconds: float, session: str = "session_id") -> DataFrame:
@@ -213,4 +218,4 @@ def token_batches(rows: DataFrame, group: str, order: list[str], tokens: str, bu
         part["batch"] = out
         return part
 
-    return rows.groupBy(group).applyInPandas(fold, rows.schema.add("batch", "long"))
+    return rows.groupBy(group).applyInPandas(fold, _with(rows, "batch"))

@@ -80,7 +80,8 @@ def bucket_trend(buckets: DataFrame, key: str, at: str, value: str, last: int =
         .withColumn("n", F.count("*").over(w))
         .withColumn("ahead", F.col("n") - F.col("back") + 1)
     )
-    new = F.avg(F.when(F.col("back") <= ends, F.col(value)))
-    old = F.avg(F.when(F.col("ahead") <= ends, F.col(value)))
-    label = F.when(new > old * 1.2, "up").when(new < old * 0.8, "down").otherwise("flat")
+    # Both ends have equally many buckets, so sums compare as means do, and exactly so.
+    new = F.sum(F.when(F.col("back") <= ends, F.col(value))) * 10
+    old = F.sum(F.when(F.col("ahead") <= ends, F.col(value)))
+    label = F.when(new > old * 12, "up").when(new < old * 8, "down").otherwise("flat")
     return rows.groupBy(key).agg(F.max("n").alias("buckets"), label.alias("trend"))

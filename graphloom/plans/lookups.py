@@ -519,6 +519,6 @@ def jaccard(t):
     )
 
 
-@plan("w01_top3_callers", "SELECT to_id, from_id, rank FROM (SELECT to_id, from_id, row_number() OVER (PARTITION BY to_id ORDER BY line_number DESC, from_id) AS rank FROM calls) x WHERE rank <= 3")
+@plan("w01_top3_callers", "SELECT to_id, from_id, CAST(rank AS INT) AS rank FROM (SELECT to_id, from_id, row_number() OVER (PARTITION BY to_id ORDER BY line_number DESC, from_id) AS rank FROM calls) x WHERE rank <= 3")
 def top3_callers(t):
     return top_per_group(t.calls, ["to_id"], [F.desc("line_number"), F.col("from_id")], 3).select("to_id", "from_id", "rank")
