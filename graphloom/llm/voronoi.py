@@ -90,7 +90,8 @@ def top_scores(
     wanted = min(CELLS, max(1, 2 * asked.count() // group_queries))
     sample = np.array([np.frombuffer(r.query, np.float64) for r in asked.orderBy("name").limit(8 * wanted).collect()])
     usable = sample[(sample != 0).any(axis=1)] if len(sample) else sample
-    centres = spread_pivots(usable, wanted) if len(usable) else sample[:1]
+    # Without a query whose direction counts one cell at the origin holds them all.
+    centres = spread_pivots(usable, wanted) if len(usable) else np.zeros((1, lengths[0] // 8 if lengths else 0))
     splits = max(1, -(-n // split_rows))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
