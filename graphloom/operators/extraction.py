@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.storage import durable
+
 PRIMITIVE = "string number boolean void any unknown never null undefined object".split()
 
 #: What a call's name tells of its effects, and how severe that is.
@@ -81,8 +83,6 @@ def argument_flows(calls: DataFrame, tainted: DataFrame) -> DataFrame:
 
 def cross_function(calls: DataFrame, start: DataFrame, most: int = 10) -> DataFrame:
     """caller, parameter and depth of all that the start's parameters reach through calls."""
-    from graphloom.operators.graph import durable
-
     frontier = start.select("caller", "parameter").distinct()
     seen = durable(frontier.withColumn("depth", F.lit(0)))
     for depth in range(1, most + 1):

@@ -7,19 +7,10 @@ costs one round.  No vertex set is collected unless its size has been checked.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def durable(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-")
-        )
-    return df.checkpoint(eager=True)
+from graphloom.storage import durable
 
 
 def reverse(edges: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ from graphloom.plans.registry import Plans
 from graphloom.plans.traversals import VECTORS, first_vector
 from graphloom.sources import files as Files
 from graphloom.sources import ledger_files
+from graphloom.sources.tables import Catalog
+from graphloom.storage import shared_folder
 from graphloom.streaming.ledger import last_per_path
 
 PLANS = Plans()
@@ -38,13 +42,7 @@ def append(t):
 @plan("s03_batch_write", "SELECT 'functions' AS relation, count(*) AS n FROM functions UNION ALL SELECT 'files', count(*) FROM files")
 def batch_write(t):
     """A batch through the catalogue into the shared folder, and read again."""
-    import uuid
-
-    from graphloom.sources.tables import Catalog
-
-    sc = t.spark.sparkContext
-    G.durable(t.spark.range(1))  # sets the session's folder where there is none
-    catalog = Catalog(t.spark, f"{sc.getCheckpointDir()}/batch-{uuid.uuid4().hex}")
+    catalog = Catalog(t.spark, f"{shared_folder(t.spark)}/batch-{uuid.uuid4().hex}")
     catalog.write_batch({"functions": t.functions, "files": t.files}, {"functions": ["id"], "files": ["id"]})
     counts = [catalog(n).agg(F.count("*").alias("n")).select(F.lit(n).alias("relation"), "n") for n in ("functions", "files")]
     return counts[0].unionAll(counts[1])
