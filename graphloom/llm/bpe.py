@@ -305,7 +305,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             found = [None if x is None else codec.decode(x) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(texts, "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(texts, "doc_id long, text string")
 
 
 def op1_bpe(spark, sf_dir: str) -> DataFrame:

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.storage import durable, written  # noqa: F401  for the operators
+
 #: Characters that end a word in the contracts: space and the controls 9 to 13.
 #: ``bytes.split()`` without arguments splits at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,20 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder.
-
-    ``spark.checkpoint.dir`` wins; only a session without one, as in tests, gets a
-    local folder.  Lost executors don't matter: the files outlive them.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-")
-        )
-    return df.checkpoint(eager=True)
-
-
 def text_bytes(docs: DataFrame) -> int:
     """UTF-8 bytes of all texts; one narrow scan, one number to the driver."""
     return docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
@@ -54,7 +40,7 @@ def hash_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """
     n = block_count(text_bytes(docs), block_bytes)
     return docs.select(
-        "doc_id", "text", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n)).cast("int").alias("block")
+        F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n)).cast("int").alias("block")
     )
 
 
@@ -74,7 +60,7 @@ def range_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, whole: bool =
         bounds = sorted(set(found or []))
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest")
     columns = ["doc_id", "text", "rest"] if whole else ["doc_id", "text"]
-    narrow = docs.select("doc_id", "text", *[rest] * whole)
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[rest] * whole)
     if not bounds:
         return narrow.withColumn("block", F.lit(0))
     # A binary search in the JVM.  Doubles keep the order of longs, which is all that matters.
@@ -106,14 +92,3 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(33))
     x = x * np.uint64(0xC4CEB9FE1A85EC53)
     return x ^ (x >> np.uint64(33))
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Write as Parquet in the shared folder and read again: a cut in the lineage that survives executors."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
-    path = f"{sc.getCheckpointDir().rstrip('/')}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

@@ -115,8 +115,8 @@ def remainder(n: int) -> F.Column:
 def train(docs: DataFrame, sample: int = 1500, sample_bytes: int = 8 << 20, landmarks: int = 160) -> Model | None:
     """Fit on at most ``sample`` labelled rows for each language, the first by a hash of doc_id.
 
-    The languages come from all labelled rows.  Each text of the sample is taken whole,
-    unless the sample's texts exceed ``sample_bytes``: then the rest is left out.
+    The languages come from all labelled rows.  Texts of over 64 KB aren't sampled, others
+    are taken whole until the sample has ``sample_bytes``.
     """
     labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL").filter(remainder(3) != 1)
     counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -160,7 +160,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                 [b.column("doc_id"), pa.array(langs), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, lang_pred string, score double")
 
 
 def predict(model: Model | None, texts: list[bytes]) -> tuple[list[str], np.ndarray]:

@@ -195,7 +195,7 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
                 at = end
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out)], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, score double")
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:

@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, words_in_shingle: int = 3) -> DataFrame:
             found = [fingerprint(t or b"", words_in_shingle) for t in arrow_texts(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.int64())], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, fp long")
 
 
 def _components(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:

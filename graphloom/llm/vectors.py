@@ -14,7 +14,7 @@ def clean(table: DataFrame) -> DataFrame:
     """vec_id and vector (array of double) without nulls, empty vectors, null or non-finite components."""
     x = F.col("embedding").cast("array<double>")
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    return table.filter("vec_id IS NOT NULL").select("vec_id", F.when(F.size(x) > 0, x).alias("vector")).filter(
+    return table.filter("vec_id IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), F.when(F.size(x) > 0, x).alias("vector")).filter(
         F.col("vector").isNotNull() & fine
     )
 
