@@ -64,8 +64,8 @@ def bus_factor(counts: DataFrame, group: str, who: str, n: str, share: float = 0
 def gap_trend(events: DataFrame, key: str, at: str, last: int = 10, rising: float = 0.7, falling: float = 1.3) -> DataFrame:
     """rising, falling or stable by the last gap between a key's accesses against the one before."""
     newest = Window.partitionBy(key).orderBy(F.col(at).desc())
-    rows = events.select(key, at, F.row_number().over(newest).alias("n")).filter(F.col("n") <= last)
-    t = lambda i: F.max(F.when(F.col("n") == i, F.col(at)))
+    rows = events.select(key, at, F.row_number().over(newest).alias("_n")).filter(F.col("_n") <= last)
+    t = lambda i: F.max(F.when(F.col("_n") == i, F.col(at)))
     now, before = t(1) - t(2), t(2) - t(3)
     label = F.when(before.isNull(), "stable").when(now < before * rising, "rising").when(now > before * falling, "falling").otherwise("stable")
     return rows.groupBy(key).agg(F.count("*").alias("accesses"), label.alias("trend"))
@@ -75,13 +75,13 @@ def bucket_trend(buckets: DataFrame, key: str, at: str, value: str, last: int =
     """Mean of the last three of up to ten buckets against the first three: up, down or flat."""
     w = Window.partitionBy(key)
     rows = (
-        buckets.withColumn("back", F.row_number().over(w.orderBy(F.col(at).desc())))
-        .filter(F.col("back") <= last)
-        .withColumn("n", F.count("*").over(w))
-        .withColumn("ahead", F.col("n") - F.col("back") + 1)
+        buckets.withColumn("_back", F.row_number().over(w.orderBy(F.col(at).desc())))
+        .filter(F.col("_back") <= last)
+        .withColumn("_n", F.count("*").over(w))
+        .withColumn("_ahead", F.col("_n") - F.col("_back") + 1)
     )
     # Both ends have equally many buckets, so sums compare as means do, and exactly so.
-    new = F.sum(F.when(F.col("back") <= ends, F.col(value))) * 10
-    old = F.sum(F.when(F.col("ahead") <= ends, F.col(value)))
+    new = F.sum(F.when(F.col("_back") <= ends, F.col(value))) * 10
+    old = F.sum(F.when(F.col("_ahead") <= ends, F.col(value)))
     label = F.when(new > old * 12, "up").when(new < old * 8, "down").otherwise("flat")
-    return rows.groupBy(key).agg(F.max("n").alias("buckets"), label.alias("trend"))
+    return rows.groupBy(key).agg(F.max("_n").alias("buckets"), label.alias("trend"))
