@@ -2,17 +2,51 @@
 
 Loops run on the driver, each round is one distributed step, and each frontier is cut
 from its lineage by a reliable checkpoint, so that plans stay short and a lost executor
-costs one round.  No vertex set is collected unless its size has been checked.
+costs one round.  The edges of a loop are kept partitioned by the end that it follows;
+lost parts are computed again.  No vertex set is collected unless its size has been checked.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.storage import durable
 
 
+@contextmanager
+def resident(edges: DataFrame, key: str = "from_id") -> Iterator[DataFrame]:
+    """Distinct edges, dealt out by key once for all rounds of a loop."""
+    held = edges.select("from_id", "to_id").distinct().repartition(key).persist()
+    try:
+        yield held
+    finally:
+        held.unpersist()
+
+
+class Seen:
+    """Vertices found so far, round by round; written together now and then, so that plans stay short."""
+
+    def __init__(self, every: int = 8):
+        self.parts: list[DataFrame] = []
+        self.every = every
+
+    def add(self, hop: DataFrame) -> None:
+        self.parts.append(hop)
+        if len(self.parts) > self.every:
+            spark = hop.sparkSession
+            self.parts = [durable(self.frame().coalesce(int(spark.conf.get("spark.sql.shuffle.partitions"))))]
+
+    def frame(self) -> DataFrame:
+        out = self.parts[0]
+        for p in self.parts[1:]:
+            out = out.unionAll(p)
+        return out
+
+
 def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"))
 
@@ -22,25 +56,25 @@ def reach(edges: DataFrame, start: DataFrame, most: int | None = None) -> DataFr
 
     via is the smallest parent at the least depth.  A start on a cycle is found again.
     """
-    step = edges.select("from_id", "to_id").distinct()
     frontier = start.select("id").distinct()
-    found: DataFrame | None = None
+    found = Seen()
     depth = 0
-    while most is None or depth < most:
-        depth += 1
-        hop = (
-            frontier.join(step, F.col("id") == F.col("from_id"))
-            .groupBy(F.col("to_id").alias("next"))
-            .agg(F.min("from_id").alias("via"))
-        )
-        if found is not None:
-            hop = hop.join(found.select(F.col("id").alias("next")), "next", "left_anti")
-        hop = durable(hop.select(F.col("next").alias("id"), F.lit(depth).alias("depth"), "via"))
-        if hop.isEmpty():
-            break
-        found = hop if found is None else found.unionAll(hop)
-        frontier = hop.select("id")
-    return found if found is not None else hop
+    with resident(edges) as step:
+        while most is None or depth < most:
+            depth += 1
+            hop = (
+                frontier.join(step, F.col("id") == F.col("from_id"))
+                .groupBy(F.col("to_id").alias("next"))
+                .agg(F.min("from_id").alias("via"))
+            )
+            if found.parts:
+                hop = hop.join(found.frame().select(F.col("id").alias("next")), "next", "left_anti")
+            hop = durable(hop.select(F.col("next").alias("id"), F.lit(depth).alias("depth"), "via"))
+            if hop.isEmpty():
+                break
+            found.add(hop)
+            frontier = hop.select("id")
+    return found.frame() if found.parts else hop
 
 
 def blast_radius(edges: DataFrame, start: DataFrame, most: int = 3, direction: str = "callers") -> DataFrame:
@@ -52,14 +86,14 @@ def blast_radius(edges: DataFrame, start: DataFrame, most: int = 3, direction: s
 
 def chain(edges: DataFrame, start: DataFrame, most: int = 10) -> DataFrame:
     """All (id, depth) at which a vertex lies on some walk from the start, up to ``most`` steps."""
-    step = edges.select("from_id", "to_id").distinct()
     frontier, found = start.select("id").distinct(), None
-    for depth in range(1, most + 1):
-        frontier = durable(
-            frontier.join(step, F.col("id") == F.col("from_id")).select(F.col("to_id").alias("id")).distinct()
-        )
-        level = frontier.withColumn("depth", F.lit(depth))
-        found = level if found is None else found.unionAll(level)
+    with resident(edges) as step:
+        for depth in range(1, most + 1):
+            frontier = durable(
+                frontier.join(step, F.col("id") == F.col("from_id")).select(F.col("to_id").alias("id")).distinct()
+            )
+            level = frontier.withColumn("depth", F.lit(depth))
+            found = level if found is None else found.unionAll(level)
     return found
 
 
@@ -185,37 +219,36 @@ def topological_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def propagate(edges: DataFrame, sources: DataFrame, flag: Column | None = None, most: int | None = None) -> DataFrame:
     """The sinks (no edge out) that flagged edges lead to from each source: source, id, depth."""
-    used = edges if flag is None else edges.filter(flag)
-    step = used.select("from_id", "to_id").distinct()
     at = sources.select(F.col("id").alias("source"), "id").distinct()
     seen, depth = durable(at.withColumn("depth", F.lit(0))), 0
     frontier = at
-    while most is None or depth < most:
-        depth += 1
-        hop = frontier.join(step, F.col("id") == F.col("from_id")).select("source", F.col("to_id").alias("id")).distinct()
-        hop = durable(hop.join(seen.select("source", "id"), ["source", "id"], "left_anti").withColumn("depth", F.lit(depth)))
-        if hop.isEmpty():
-            break
-        seen, frontier = seen.unionAll(hop), hop.select("source", "id")
-    sinks = seen.join(step.select(F.col("from_id").alias("id")).distinct(), "id", "left_anti")
-    return sinks.select("source", "id", "depth")
+    with resident(edges if flag is None else edges.filter(flag)) as step:
+        while most is None or depth < most:
+            depth += 1
+            hop = frontier.join(step, F.col("id") == F.col("from_id")).select("source", F.col("to_id").alias("id")).distinct()
+            hop = durable(hop.join(seen.select("source", "id"), ["source", "id"], "left_anti").withColumn("depth", F.lit(depth)))
+            if hop.isEmpty():
+                break
+            seen, frontier = seen.unionAll(hop), hop.select("source", "id")
+        sinks = seen.join(step.select(F.col("from_id").alias("id")).distinct(), "id", "left_anti")
+        return durable(sinks.select("source", "id", "depth"))
 
 
 def path_exists(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """source, target and whether a way leads from one to the other."""
     starts = pairs.select(F.col("source").alias("id")).distinct()
-    step = edges.select("from_id", "to_id").distinct()
     frontier = starts.select(F.col("id").alias("source"), "id")
     seen: DataFrame | None = None
-    while True:
-        hop = frontier.join(step, F.col("id") == F.col("from_id")).select("source", F.col("to_id").alias("id")).distinct()
-        if seen is not None:
-            hop = hop.join(seen, ["source", "id"], "left_anti")
-        hop = durable(hop)
-        if hop.isEmpty():
-            break
-        seen = hop if seen is None else seen.unionAll(hop)
-        frontier = hop
+    with resident(edges) as step:
+        while True:
+            hop = frontier.join(step, F.col("id") == F.col("from_id")).select("source", F.col("to_id").alias("id")).distinct()
+            if seen is not None:
+                hop = hop.join(seen, ["source", "id"], "left_anti")
+            hop = durable(hop)
+            if hop.isEmpty():
+                break
+            seen = hop if seen is None else seen.unionAll(hop)
+            frontier = hop
     found = (seen if seen is not None else hop).select("source", F.col("id").alias("target"), F.lit(True).alias("found"))
     return pairs.join(found, ["source", "target"], "left").select("source", "target", F.coalesce("found", F.lit(False)).alias("found"))
 

@@ -14,7 +14,7 @@ from graphloom.operators.graph import reverse
 
 STOP = set("a an the is are was of to in on for and or with that this what which who where how does do me all show list get".split())
 
-#: Wordings by intent, tried in this order; group 1 is the target.  T stands for it.
+#: Wordings by intent, tried in this order; group 1 is the target.  T stands for it.
 WORDINGS = [
     ("show_callers", ["(?:what|who) calls? T", "callers? of T"]),
     ("show_callees", ["what does T call", "T calls? what"]),
@@ -37,7 +37,7 @@ WORDINGS = [
 _RULES = [
     (intent, re.compile(w.replace("T", "(.+)").replace(" ", r"\s+"), re.I)) for intent, ws in WORDINGS for w in ws
 ]
-#: Words that hint at an intent where no wording fits, and how sure that is.
+#: Words that hint at an intent where no wording fits, and how sure that is.
 HINTS = [
     ({"calls", "call", "callers"}, None, "show_callers", 0.6),
     ({"imports", "import"}, None, "show_imports", 0.6),
