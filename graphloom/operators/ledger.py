@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -40,22 +43,41 @@ def anchored_sessions(events: DataFrame, gap_seconds: float, session: str = "ses
     makes this a fold, one session_id at a time; columns seq, at (seconds), event_type.
     """
 
-    def fold(group):
-        group = group.sort_values(["at", "seq"], ascending=False, kind="stable")
-        parts, part, anchor, before = [], 0, None, None
-        for at, kind in zip(group["at"], group["event_type"], strict=True):
-            if anchor is None:
-                anchor = at
-            elif abs(anchor - at) > gap_seconds or kind == "system:startup" or before == "system:shutdown":
-                part, anchor, before = part + 1, at, None
-            if before is None:  # the markers are those of the part's newest event
-                before = kind
-            parts.append(part)
-        group["part"] = parts
-        return group
+    def begin():
+        part, anchor, newest_kind = 0, None, None
+
+        def step(at, kind):
+            nonlocal part, anchor, newest_kind
+            if anchor is not None and (anchor - at > gap_seconds or kind == "system:startup" or newest_kind == "system:shutdown"):
+                part, anchor = part + 1, None
+            if anchor is None:  # the part's newest event
+                anchor, newest_kind = at, kind
+            return part
+
+        return step
 
     rows = events.select(session, "seq", "at", "event_type")
-    return rows.groupBy(session).applyInPandas(fold, _with(rows, "part"))
+    return ordered_fold(rows, session, [F.col("at").desc(), F.col("seq").desc()], ["at", "event_type"], begin, "part")
+
+
+def ordered_fold(rows: DataFrame, key: str, order: list[Column], inputs: list[str], begin: Callable, out: str) -> DataFrame:
+    """Adds what ``begin()(*inputs)`` returns for each row, a fresh one for each key, rows in the order given.
+
+    Keys are dealt out and sorted, and each task runs down its rows in Arrow batches, so
+    that neither many small keys nor a large one need a group in memory.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, step = object(), None
+        for b in batches:
+            found = []
+            for k, *values in zip(b[key], *[b[c] for c in inputs], strict=True):
+                if step is None or k != known and not (pd.isna(k) and pd.isna(known)):
+                    known, step = k, begin()
+                found.append(step(*values))
+            yield b.assign(**{out: found})
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, _with(rows, out))
 
 
 def gap_sessions(events: DataFrame, gap_seconds: float, session: str = "session_id") -> DataFrame:
@@ -207,15 +229,16 @@ def budget_state(spent: Column, budget: float) -> Column:
 def token_batches(rows: DataFrame, group: str, order: list[str], tokens: str, budget: int) -> DataFrame:
     """Greedy filling in order: a batch closes before the row that would exceed the budget.  Adds batch (from 0)."""
 
-    def fold(part):
-        part = part.sort_values(order, kind="stable")
-        batch, used, out = 0, 0, []
-        for t in part[tokens]:
+    def begin():
+        batch, used = 0, 0
+
+        def step(t):
+            nonlocal batch, used
             if used and used + t > budget:
                 batch, used = batch + 1, 0
             used += t
-            out.append(batch)
-        part["batch"] = out
-        return part
+            return batch
+
+        return step
 
-    return rows.groupBy(group).applyInPandas(fold, _with(rows, "batch"))
+    return ordered_fold(rows, group, [F.col(c) for c in order], [tokens], begin, "batch")
