@@ -22,9 +22,17 @@ give repeated rows.
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from graphloom.llm.common import arrow_texts
+from graphloom.storage import durable
 
 THRESHOLD = 0.6
 TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
@@ -42,6 +50,19 @@ TEMPLATES = [
 ]
 
 
+_TERM = re.compile(TERM.encode())
+#: Letters lowered, digits, dots and dashes as they are, everything else a space.
+_PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if chr(c) in ".-0123456789" + LOWER else 32 for c in range(256))
+
+
+def term_set(data: bytes) -> set[bytes]:
+    """The distinct terms of a text, as ``terms`` finds them in a column."""
+    runs = set(data.translate(_PLAIN).split())
+    plain = {r for r in runs if r.isalnum()}
+    plain.update(_TERM.findall(b" ".join(runs - plain)))
+    return plain
+
+
 def terms(text: F.Column) -> F.Column:
     return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(TERM), F.lit(0))
 
@@ -59,10 +80,20 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thresho
     for r in given.collect():  # the parameter, as terms
         of_template.setdefault(r.name, []).append(r.term)
     vocabulary = sorted({t for ts in of_template.values() for t in ts})
-    words = F.array(*[F.lit(t) for t in vocabulary])
+    known_terms = {t.encode() for t in vocabulary}
 
-    counted = files.select(F.explode_outer(F.array_intersect(terms(F.coalesce("text", F.lit(""))), words)).alias("term"))
-    frequency = {r.term: r.n for r in counted.groupBy("term").agg(F.count("*").alias("n")).collect()}  # one row a term
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter[bytes] = Counter()
+        for b in batches:
+            for text in arrow_texts(b.column("text")):
+                found.update(term_set(text or b"") & known_terms)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([t.decode() for t in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["term", "n"]
+        )
+
+    # A task sends one row a term.
+    counted = files.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    frequency = {r.term: r.n for r in counted.collect()}
     n = files.count()
     idf = {t: round(math.log((1 + n) / (1 + frequency.get(t, 0))) + 1, 9) for t in vocabulary}
     rare = round(math.log((1 + n) / 2) + 1, 9)
@@ -80,12 +111,19 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thresho
             left.pop(t)
     weight = spark.createDataFrame(weights, "name string, term string, w double")
     known = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
-    first = "(?:" + "|".join(sorted(t.replace(".", "[.]") for t in lookup)) + ")"
+    wanted = {t.encode() for t in lookup}
+    own_id = files.schema["id"].dataType
 
-    low = F.translate("text", UPPER, LOWER)
-    maybe = files.select("id", "text").filter(F.regexp_like(low, F.lit(first)))
+    def can_match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([not wanted.isdisjoint(term_set(t or b"")) for t in arrow_texts(b.column("text"))], pa.bool_()))
+
+    # The few texts that can reach the threshold; written once, read as lines and as a whole.
+    maybe = durable(
+        files.select("id", "text").mapInArrow(can_match, StructType([StructField("id", own_id), StructField("text", StringType())]))
+    )
     lines = maybe.select("id", F.posexplode(F.split("text", "\n")).alias("line", "segment")).filter(
-        F.regexp_like(F.translate("segment", UPPER, LOWER), F.lit(first))
+        F.arrays_overlap(terms(F.col("segment")), F.array(*[F.lit(t) for t in sorted(lookup)]))
     )
     segments = lines.unionByName(maybe.select("id", F.lit(-1).alias("line"), F.col("text").alias("segment")))
     tf = (
