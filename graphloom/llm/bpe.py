@@ -18,6 +18,8 @@ repeated rows.  Columns besides doc_id and text are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,6 +36,10 @@ LONGEST = 1 << 14
 #: Runs that a process remembers; past that it starts afresh.
 REMEMBERED = 600_000
 
+#: How a tokenizer parts words for which a run of letters and the signs behind it encode apart.
+_PARTED = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WORD_AND_SIGNS = re.compile(rb"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")
+
 _SPACES = b" \t\n\r\x0b\x0c"
 _GEAR = np.random.default_rng(20).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -97,6 +103,11 @@ class Codec:
         for space in " \t\n\r\x0b\x0c":
             if self._ids(space.join(probe)) != sum(map(self._ids, probe), []):
                 raise ValueError("the tokenizer's words may span white space; chunks can't be joined exactly")
+        settings = json.loads(self.tokenizer.to_str())
+        kinds = [n.get("type") for n in (settings["normalizer"] or {}).get("normalizers", [])]
+        splits = [p.get("pattern", {}).get("Regex") for p in (settings["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        #: Then "Word", "word" and "word.)" share what has been learnt of "word".
+        self.parted = kinds == ["NFC", "Replace", "Lowercase"] and splits[:1] == [_PARTED]
         self.names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         self.digits = [str(i) for i in range(size)]
 
@@ -113,10 +124,20 @@ class Codec:
         """Encode the runs that aren't known yet, all in one call."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = list({r for r in runs if r not in self.known})
-        if new:
-            found = self.tokenizer.encode_batch_fast([r.decode() for r in new], add_special_tokens=False)
-            self.known.update((r, np.array(e.ids, self.dtype).tobytes()) for r, e in zip(new, found, strict=True))
+        new = {r for r in runs if r not in self.known}
+        parts = {}
+        if self.parted:
+            for r in new:
+                if m := _WORD_AND_SIGNS.fullmatch(r):
+                    parts[r] = (m[1].lower(), m[2])
+            self.known.setdefault(b"", b"")
+            new = new.difference(parts).union(*parts.values())
+        order = [r for r in new if r not in self.known]
+        if order:
+            found = self.tokenizer.encode_batch_fast([r.decode() for r in order], add_special_tokens=False)
+            self.known.update((r, np.array(e.ids, self.dtype).tobytes()) for r, e in zip(order, found, strict=True))
+        for r, (word, signs) in parts.items():
+            self.known[r] = self.known[word] + self.known[signs]
 
     def runs(self, runs: list[bytes]) -> bytes:
         """The ids of runs that white space parts, as packed integers."""
