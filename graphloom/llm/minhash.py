@@ -1,0 +1,156 @@
+"""Near copies by similarity: candidates from MinHash bands, links by exact Jaccard, components.
+
+A text is the set of its five-word shingles, A-Z lowered, as 64-bit hashes.  Two texts link
+if they share at least 4/5 of the shingles that either has.  Candidates share one of 32
+bands of six minima; a pair at exactly 0.8 shares none with a probability of 6e-5, one at
+0.85 of 3e-7.  Each candidate is verified on the whole sets, so nothing less similar links.
+
+Bands give stars first: every member of a band is compared with its smallest one.  Members
+of a band that the stars' links leave in different components are then compared pair by
+pair, which no star can stand for.  Equal texts are one vertex (a 64-bit hash) throughout.
+
+Nulls, empty texts and texts of white space are equal.  Texts of fewer words than a shingle
+have one shingle, the whole sequence.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from graphloom.llm.common import arrow_texts, durable, mix64
+from graphloom.llm.simhash import _LOWER, SEED, components
+
+WORDS = 5
+BANDS, ROWS = 32, 6
+#: The least share of common shingles that links, as a fraction in whole numbers.
+SHARE = (4, 5)
+_FACTORS = np.random.default_rng(5).integers(1 << 30, 1 << 32, BANDS * ROWS).astype(np.uint32) | np.uint32(1)
+
+
+def shingles(data: bytes) -> np.ndarray:
+    """Distinct hashes, sorted, of UTF-8 bytes."""
+    import xxhash
+
+    words = data.translate(_LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    found = [b" ".join(words)] if len(words) < WORDS else map(b" ".join, zip(*(words[i:] for i in range(WORDS)), strict=False))
+    digest = xxhash.xxh64_digest
+    return np.unique(np.frombuffer(b"".join([digest(s, SEED) for s in found]), np.uint64))
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A long for each band, which sets with the same minima in it share."""
+    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    high = (hashes >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(high), 512):
+        least = np.minimum(least, (high[at : at + 512, None] * _FACTORS).min(axis=0))
+    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + row)
+    return out.view(np.int64)
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    either = len(a) + len(b) - both
+    return SHARE[1] * both >= SHARE[0] * either
+
+
+def _key() -> F.Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """key, own (the smallest doc_id), n (shingles) and bands of every distinct text."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t or b"") for t in arrow_texts(b.column("text"))]
+            found = np.concatenate([bands(s) for s in sets]) if sets else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(found) + 1, BANDS), pa.int32()), pa.array(found, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("key"), b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), lists], names=["key", "doc_id", "n", "bands"]
+            )
+
+    of_doc = docs.select(_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        each, "key long, doc_id long, n long, bands array<long>"
+    )
+    return of_doc.groupBy("key").agg(F.min("doc_id").alias("own"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+
+
+def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of keys whose texts are alike; only texts of a pair are shuffled."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    texts = docs.select(_key().alias("key"), "text").join(wanted, "key", "left_semi").dropDuplicates(["key"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingles(t or b"").tobytes() for t in arrow_texts(b.column("text"))]
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(found, pa.binary())], names=["key", "hashes"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sides = zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)
+            ok = [alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in sides]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    sets = durable(texts.mapInArrow(whole, "key long, hashes binary"))
+    left = sets.select(F.col("key").alias("a"), F.col("hashes").alias("x"))
+    right = sets.select(F.col("key").alias("b"), F.col("hashes").alias("y"))
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+
+
+def _sizes_allow(n: str, m: str) -> F.Column:
+    """Sets whose sizes are further apart than the share can't reach it."""
+    return F.least(n, m) * SHARE[1] >= F.greatest(n, m) * SHARE[0]
+
+
+def links(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """Verified pairs of keys, a < b, whose components are those of all candidates that are alike."""
+    spread = known.select("key", "n", F.explode("bands").alias("band"))
+    hubs = (
+        spread.groupBy("band")
+        .agg(F.min(F.struct("key", "n")).alias("h"), F.count("*").alias("members"))
+        .filter("members > 1")
+        .select("band", F.col("h.key").alias("hub"), F.col("h.n").alias("m"))
+    )
+    shared = durable(spread.join(hubs, "band"))
+    tried = durable(
+        shared.filter("key != hub").filter(_sizes_allow("n", "m")).select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
+    )
+    first = durable(verified(docs, tried))
+    tied = components(first).select(F.col("id").alias("key"), "root")
+    rooted = shared.join(tied, "key", "left").select("band", "key", "n", F.coalesce("root", "key").alias("root"))
+    apart = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("band")
+    open_ = durable(rooted.join(apart, "band", "left_semi"))
+    other = open_.select("band", F.col("key").alias("key2"), F.col("n").alias("m"), F.col("root").alias("root2"))
+    rest = (
+        open_.join(other, "band")
+        .filter("root < root2")
+        .filter(_sizes_allow("n", "m"))
+        .select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b"))
+        .distinct()
+        .join(tried, ["a", "b"], "left_anti")
+    )
+    return first.unionAll(verified(docs, durable(rest)))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs, unchanged, less all but one of each component: the one with the smallest doc_id.
+
+    Only rows with a component's smallest id go into the last step, so a group of copies is
+    gone before rows meet by component.
+    """
+    known = durable(signatures(docs))
+    tied = components(links(docs, known))
+    rooted = known.join(tied, known.key == tied.id, "left").select("key", "own", F.coalesce("root", "key").alias("root"))
+    groups = rooted.join(rooted.groupBy("root").agg(F.min("own").alias("least")), "root").select("key", "root", "least")
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest")
+    kept = docs.select(rest, _key().alias("key")).join(groups, "key").filter("rest.doc_id <=> least")
+    return kept.dropDuplicates(["root"]).select("rest.*")
