@@ -8,8 +8,13 @@ matrix; one ridge regression for each language against the rest is fitted on the
 features.  Scoring multiplies a batch's presence matrix by the landmarks' and the result
 by the weights.
 
+The set of a very long text would be nearly all columns, in any language.  So a text is cut
+into equal stretches of at most 8 KB, and its row is the mean of theirs; as all that
+follows is linear, its scores are the means of its stretches' scores.  Stretches without a
+letter don't count where another has one.
+
 Training reads a bounded sample of labelled rows (``sample``, ``landmarks`` and
-``sample_bytes`` are parameters); prediction reads every text whole.  A text that is null
+``sample_bytes`` are parameters), each whole; prediction reads every text whole.  A text that is null
 or has no letter is ``und`` with score 0.  Other scores are the softmax of the regressions.
 Languages are compared by score, ties go to the first by code point.  Repeated rows give
 repeated rows.  With no labelled row to learn from every text is ``und``.
@@ -30,6 +35,9 @@ from graphloom.llm.common import arrow_texts
 COLUMNS = 1 << 12
 LONGEST_GRAM = 4
 BATCH = 512
+STRETCH = 1 << 13
+#: A sampled text counts for at most so many bytes, as no more than its row reaches the driver.
+MOST_COUNTED = 1 << 16
 #: Sharpness of the softmax that turns regression outputs, about 0 and 1, into a score.
 SHARPNESS = 6.0
 _FACTORS = [np.uint32(int(x) | 1) for x in np.random.default_rng(3).integers(1 << 30, 1 << 32, LONGEST_GRAM)]
@@ -60,15 +68,44 @@ def presence(data: bytes) -> np.ndarray:
     return out
 
 
+def stretches(data: bytes) -> list[bytes]:
+    """Equal parts that together are the text, cut between characters; those with letters, if any has one."""
+    n = -(-len(data) // STRETCH)
+    if n <= 1:
+        return [data]
+    cuts = [0]
+    for k in range(1, n):
+        at = k * len(data) // n
+        while at < len(data) and data[at] & 0xC0 == 0x80:
+            at += 1
+        cuts.append(at)
+    parts = [data[a:b] for a, b in zip(cuts, [*cuts[1:], len(data)], strict=True)]
+    return [p for p in parts if has_letter(p)] or parts
+
+
 def matrix(texts: list[bytes]) -> np.ndarray:
-    """Normalised presence: products of rows are kernel values."""
+    """Normalised presence, the mean of a text's stretches: products of rows are (mean) kernel values."""
     m = np.zeros((len(texts), COLUMNS), np.float32)
     for row, t in zip(m, texts, strict=True):
-        flags = presence(t)
-        row[flags] = 1.0 / np.sqrt(max(1, np.count_nonzero(flags)))
+        parts = stretches(t)
+        for part in parts:
+            flags = presence(part)
+            row[flags] += 1.0 / (len(parts) * np.sqrt(max(1, np.count_nonzero(flags))))
     return m
 
 
+def _packed(data: bytes) -> bytes:
+    """The row of a text for the driver: the flags as bits where one stretch is all, else the numbers."""
+    return np.packbits(presence(data)).tobytes() if len(data) <= STRETCH else matrix([data])[0].tobytes()
+
+
+def _unpacked(row: bytes) -> np.ndarray:
+    if len(row) > COLUMNS // 8:
+        return np.frombuffer(row, np.float32)
+    flags = np.unpackbits(np.frombuffer(row, np.uint8)).astype(np.float32)
+    return flags / np.float32(np.sqrt(max(1, np.count_nonzero(flags))))
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -82,12 +119,12 @@ class Model:
         return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(texts: list[bytes], languages: list[str], landmarks: int = 160, ridge: float = 1e-2) -> Model:
+def fit(m: np.ndarray, languages: list[str], landmarks: int = 160, ridge: float = 1e-2) -> Model:
+    """From the rows of texts, as in ``matrix``, and their languages."""
     names = sorted(set(languages), key=lambda x: x.encode())
     # Landmarks in turn from each language, in the order given.
     of = {n: [i for i, x in enumerate(languages) if x == n] for n in names}
-    chosen = [of[n][k] for k in range(len(texts)) for n in names if k < len(of[n])][:landmarks]
-    m = matrix(texts)
+    chosen = [of[n][k] for k in range(len(m)) for n in names if k < len(of[n])][:landmarks]
     marks = m[chosen]
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     keep = values > 1e-6 * values[-1]
@@ -95,11 +132,11 @@ def fit(texts: list[bytes], languages: list[str], landmarks: int = 160, ridge: f
     features = (m @ marks.T).astype(np.float64) @ white
     wanted = np.array([[float(x == n) for n in names] for x in languages])
     # Every language weighs the same, however many texts it has.
-    weight = np.array([len(texts) / (len(names) * len(of[x])) for x in languages])[:, None]
+    weight = np.array([len(m) / (len(names) * len(of[x])) for x in languages])[:, None]
     mean, aim = (weight * features).sum(0) / weight.sum(), (weight * wanted).sum(0) / weight.sum()
     centred = features - mean
     solved = np.linalg.solve(
-        centred.T @ (weight * centred) + ridge * len(texts) * np.eye(centred.shape[1]) / 100,
+        centred.T @ (weight * centred) + ridge * len(m) * np.eye(centred.shape[1]) / 100,
         centred.T @ (weight * (wanted - aim)),
     )
     return Model(
@@ -115,8 +152,8 @@ def remainder(n: int) -> F.Column:
 def train(docs: DataFrame, sample: int = 1500, sample_bytes: int = 8 << 20, landmarks: int = 160) -> Model | None:
     """Fit on at most ``sample`` labelled rows for each language, the first by a hash of doc_id.
 
-    The languages come from all labelled rows.  Texts of over 64 KB aren't sampled, others
-    are taken whole until the sample has ``sample_bytes``.
+    The languages come from all labelled rows.  Texts are taken whole, whatever their size,
+    until the sample has ``sample_bytes``, in which one counts for at most 64 KB.
     """
     labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL").filter(remainder(3) != 1)
     counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -129,22 +166,32 @@ def train(docs: DataFrame, sample: int = 1500, sample_bytes: int = 8 << 20, land
     wanted = F.lit(False)
     for k, rate in rates.items():
         wanted = wanted | ((F.col("lang") == k) & (spread < int(rate * (1 << 40)) + 1))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = arrow_texts(b.column("text"))
+            for at in range(0, len(texts), BATCH):
+                part = texts[at : at + BATCH]
+                columns = [b.column(c).slice(at, len(part)) for c in ("lang", "h", "doc_id")]
+                found = [pa.array([len(t) for t in part], pa.int64()), pa.array([_packed(t) for t in part], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, *found], names=["lang", "h", "doc_id", "bytes", "row"])
+
     rows = (
         labelled.filter(wanted)
-        .filter(F.octet_length("text") <= 1 << 16)
-        .select("lang", spread.alias("h"), "doc_id", F.col("text"))
+        .select("lang", spread.alias("h"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+        .mapInArrow(each, "lang string, h long, doc_id long, bytes long, row binary")
         .orderBy("h", "doc_id")
         .limit(2 * sample)
     )
-    texts, languages, total = [], [], 0
+    found, languages, total = [], [], 0
     for r in rows.collect():
-        data = r.text.encode()
-        if total + len(data) > sample_bytes:
+        counted = min(r.bytes, MOST_COUNTED)
+        if total + counted > sample_bytes:
             continue
-        total += len(data)
-        texts.append(data)
+        total += counted
+        found.append(_unpacked(r.row))
         languages.append(r.lang)
-    return fit(texts, languages, landmarks) if texts else None
+    return fit(np.stack(found), languages, landmarks) if found else None
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
