@@ -14,7 +14,7 @@ from graphloom.llm import bpe, common, language, minhash, mixing, substring
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null, or no letter in them) go."""
+    """Documents without a language (null, or no letter in them) or with a score under 0.5 go."""
     return language.accepted(docs, language.train(docs))
 
 

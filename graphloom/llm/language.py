@@ -40,6 +40,8 @@ STRETCH = 1 << 13
 MOST_COUNTED = 1 << 16
 #: Sharpness of the softmax that turns regression outputs, about 0 and 1, into a score.
 SHARPNESS = 6.0
+#: Least score of a text that ``accepted`` keeps: its language is as likely as all others together.
+LEAST = 0.5
 _FACTORS = [np.uint32(int(x) | 1) for x in np.random.default_rng(3).integers(1 << 30, 1 << 32, LONGEST_GRAM)]
 _ASCII = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _LETTERS = bytes(range(65, 91)) + bytes(range(97, 123))
@@ -223,15 +225,24 @@ def predict(model: Model | None, texts: list[bytes]) -> tuple[list[str], np.ndar
     return langs, scores
 
 
-def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of docs, unchanged, that have a language; those that are ``und`` go."""
+def accepted(docs: DataFrame, model: Model | None, least: float = LEAST) -> DataFrame:
+    """The rows of docs, unchanged, that have a language with a score of ``least`` or more.
+
+    Those that are ``und`` go.  Without a model nothing is known but whether a text has a
+    letter, and those that have one stay.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, _ = predict(held.value, [t or b"" for t in arrow_texts(b.column(at))])
-            yield b.filter(pa.array([x != "und" for x in langs], pa.bool_()))
+            texts = [t or b"" for t in arrow_texts(b.column(at))]
+            if held.value is None:
+                keep = [has_letter(t) for t in texts]
+            else:
+                langs, scores = predict(held.value, texts)
+                keep = [x != "und" and s >= least for x, s in zip(langs, scores.tolist(), strict=True)]
+            yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(each, docs.schema)
 

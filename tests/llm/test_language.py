@@ -39,3 +39,17 @@ def test_stretches_cover_the_text():
     parts = language.stretches(data)
     assert b"".join(parts) == data and max(map(len, parts)) <= language.STRETCH + 3 and all(p.decode() for p in parts)
     assert language.stretches(b"1 " * 40_000 + b"word " * 8000)[-1].endswith(b"word ") and language.stretches(b"") == [b""]
+
+
+def test_stage_drops_low_scores(spark, model):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*(prose(k, 900, -2) for k in LETTERS), "1 2", None, "x", "漢字"])], "doc_id long, text string")
+    scores = {r.doc_id: r.score for r in language.identify(docs, model).collect()}
+    assert max(scores[6], scores[7]) < language.LEAST
+    assert {r.doc_id for r in language.accepted(docs, model).collect()} == {0, 1, 2, 3}
+    assert {r.doc_id for r in language.accepted(docs, model, 0.0).collect()} == {0, 1, 2, 3, 6, 7}
+
+
+def test_stage_without_a_model_keeps_letters(spark):
+    docs = spark.createDataFrame([(1, "plain words", None), (2, "12 !", None), (3, None, None), (4, "é", None)], "doc_id long, text string, lang string")
+    assert language.train(docs) is None
+    assert {r.doc_id for r in language.accepted(docs, None).collect()} == {1, 4}
