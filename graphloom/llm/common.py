@@ -44,31 +44,63 @@ def hash_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     )
 
 
+#: Pieces of the doc_ids' range whose sizes the driver learns.
+PIECES = 4096
+#: What a row costs besides its text.
+ROW_BYTES = 512
+
+
 def range_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, whole: bool = False) -> DataFrame:
-    """doc_id, text and a block number that never falls as doc_id rises; null ids come last.
+    """doc_id, text, place and a block number that never falls along (doc_id, nulls last; place).
 
-    ``whole`` adds the struct rest of all columns but text.
+    place is a hash of the text, so that rows which share a doc_id, or have none, can be cut
+    too.  ``whole`` adds the struct rest of all columns but text.
 
-    The bounds are doc_id quantiles, so ids may be spread unevenly.  Only the bounds,
-    one number a block, reach the driver.
+    The ids' range is cut into at most PIECES pieces of about as many rows, and at an id that
+    is a piece's worth of rows by itself.  The driver learns each piece's bytes.  A piece is
+    cut further into blocks of equal parts of its ids, one of a single id by place.
     """
-    n = block_count(text_bytes(docs), block_bytes)
-    bounds: list[int] = []
-    if n > 1:
-        cuts = [k / n for k in range(1, n)]
-        found = docs.agg(F.percentile_approx("doc_id", cuts, max(10_000, 4 * n))).first()[0]
-        bounds = sorted(set(found or []))
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest")
-    columns = ["doc_id", "text", "rest"] if whole else ["doc_id", "text"]
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[rest] * whole)
-    if not bounds:
-        return narrow.withColumn("block", F.lit(0))
+    columns = ["doc_id", "text", "place", *["rest"] * whole]
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("place"), *[rest] * whole)
+    weight = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES)
+    size = docs.agg(weight).first()[0] or 0
+    pieces = min(PIECES, 4 * block_count(size, block_bytes))
+    edges: list[float] = []
+    if pieces > 4:
+        cuts = [k / pieces for k in range(1, pieces)]
+        found = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), cuts, 4 * PIECES)).first()[0] or []
+        often = {a for a, b in zip(found, found[1:], strict=False) if a == b}
+        edges = sorted({float(x) for x in [*found, *often, *(x + 1 for x in often)]})
     # A binary search in the JVM.  Doubles keep the order of longs, which is all that matters.
-    edges = [float("-inf"), *sorted({float(b) for b in bounds}), float("inf")]
-    found = Bucketizer(splits=edges, inputCol="_at", outputCol="_block").transform(
-        narrow.withColumn("_at", F.col("doc_id").cast("double"))
-    )
-    return found.select(*columns, F.coalesce("_block", F.lit(len(edges) - 1)).cast("int").alias("block"))
+    at = Bucketizer(splits=[float("-inf"), *(edges or [0.0]), float("inf")], inputCol="_at", outputCol="_piece")
+    pieced = at.transform(narrow.withColumn("_at", F.col("doc_id").cast("double"))).withColumn("_piece", F.coalesce("_piece", F.lit(1e6)).cast("int"))
+    sizes = pieced.groupBy("_piece").agg(weight.alias("bytes"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).orderBy("_piece").collect()
+    # A piece of more than a block is cut into parts; smaller ones share blocks as they follow each other.
+    plan, block, room = [], -1, 0
+    for r in sizes:
+        parts = block_count(r.bytes, block_bytes)
+        if r.bytes > room:
+            block, room = block + 1, block_bytes
+        plan.append((r._piece, r.least, r.most, parts, block))
+        block, room = block + parts - 1, 0 if parts > 1 else room - r.bytes
+    schema = "_piece int, _least long, _most long, _parts int, _first int"
+    lookup = F.broadcast(docs.sparkSession.createDataFrame(plan, schema))  # a row a piece
+    share = F.when(
+        F.col("_least") < F.col("_most"),
+        (F.col("doc_id").cast("double") - F.col("_least")) / (F.col("_most").cast("double") - F.col("_least") + 1),
+    ).otherwise(F.col("place") / F.lit(2.0**64) + 0.5)
+    part = F.least(F.floor(share * F.col("_parts")), F.col("_parts") - 1)
+    return pieced.join(lookup, "_piece").select(*columns, (F.col("_first") + F.greatest(part, F.lit(0))).cast("int").alias("block"))
+
+
+#: Rows of a few numbers that are sent to every task; more are shuffled.
+FEW = 400_000
+
+
+def if_few(rows: DataFrame, most: int = FEW) -> DataFrame:
+    """Marked for a broadcast if there are no more than ``most``; counts no further than that."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
 def single_thread() -> None:

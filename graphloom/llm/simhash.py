@@ -29,14 +29,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from graphloom.llm.common import arrow_texts, durable
+from graphloom.llm.common import arrow_texts, durable, if_few
 
 SEED = 42
 RADIUS = 3
 #: Variants that a bucket of leading bits should unfold.
 BUCKET_VARIANTS = 1 << 20
+#: Bits that second fingerprints may be apart.
+FAR = 16
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -82,12 +83,13 @@ def _components(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
             root = jumped
 
 
-def stars(fps: np.ndarray, bucket: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among unsigned fingerprints, distinct, by their variants with these leading bits.
+def star_pairs(fps: np.ndarray, bucket: int, bits: int, width: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Places (member, hub) of unsigned fingerprints that meet in a variant with these leading bits.
 
-    Returns pairs (fingerprint, the smallest of its component here) for the linked.
+    A fingerprint is the low ``width`` bits of its number; what stands above them is compared
+    as it is.  All pairs lie within the radius, and equal fingerprints are pairs too.
     """
-    low_bits = 64 - bits
+    low_bits = width - bits
     one = np.uint64(1)
     mask = np.uint64((1 << low_bits) - 1)
     away = np.bitwise_count((fps >> np.uint64(low_bits)) ^ np.uint64(bucket))
@@ -115,7 +117,7 @@ def stars(fps: np.ndarray, bucket: int, bits: int) -> tuple[np.ndarray, np.ndarr
     there[(hubs * odd_factor) >> wide] = True
 
     def probe(which: np.ndarray, flip: np.ndarray) -> None:
-        if not len(hubs):
+        if not len(hubs) or not len(flip):
             return
         step = max(1, (1 << 21) // len(flip))
         for at in range(0, len(which), step):
@@ -132,45 +134,76 @@ def stars(fps: np.ndarray, bucket: int, bits: int) -> tuple[np.ndarray, np.ndarr
     probe(pick(~odd & (away == 1)), flips)
     probe(pick(~odd & (away == 2)), np.zeros(1, np.uint64))
     a, b = np.concatenate(left), np.concatenate(right)
-    apart = np.bitwise_count(fps[a] ^ fps[b])
-    a, b = a[(apart > 0) & (apart <= RADIUS)], b[(apart > 0) & (apart <= RADIUS)]
+    fine = (a != b) & (np.bitwise_count(fps[a] ^ fps[b]) <= RADIUS)
+    return a[fine], b[fine]
+
+
+def stars(
+    fps: np.ndarray, bucket: int, bits: int, width: int = 64, names: np.ndarray | None = None, checks: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (name, the smallest name of its component here) of those linked in this bucket.
+
+    Names are the fingerprints themselves if none are given.  ``checks`` are second
+    fingerprints: pairs whose checks are over FAR bits apart don't link.  A bucket of too
+    many variants is solved in halves, by one more leading bit.
+    """
+    names = fps if names is None else names
+    if len(fps) * width > 2 * BUCKET_VARIANTS and width - bits > 16:
+        found = []
+        for half in (2 * bucket, 2 * bucket + 1):
+            near = np.flatnonzero(np.bitwise_count((fps >> np.uint64(width - bits - 1)) ^ np.uint64(half)) <= 2)
+            found.append(stars(fps[near], half, bits + 1, width, names[near], None if checks is None else checks[near]))
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    order = np.argsort(names, kind="stable")
+    fps, names = fps[order], names[order]
+    a, b = star_pairs(fps, bucket, bits, width)
+    if checks is not None:
+        checks = checks[order]
+        fine = np.bitwise_count(checks[a] ^ checks[b]) <= FAR
+        a, b = a[fine], b[fine]
     root = _components(a, b, len(fps))
     linked = np.flatnonzero(root != np.arange(len(fps)))
-    return fps[linked], fps[root[linked]]
+    return names[linked], names[root[linked]]
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Stars of linked fingerprints, a and b, from distinct ones (fp).
+def links(rows: DataFrame, width: int = 64, n: int | None = None) -> DataFrame:
+    """Stars of linked fingerprints, a and b, from distinct ones (fp), or of their names.
 
-    All links within the radius run along the stars of one bucket.
+    All links within the radius run along the stars of one bucket.  Columns name and check
+    (longs) are used where there are any; ``n`` is the number of rows that share what
+    stands above the fingerprint's ``width`` bits, else all.
     """
-    n = distinct.count()
-    bits = min(24, max(4, math.ceil(math.log2(max(1, n) * 1040 / BUCKET_VARIANTS))))
+    n = rows.count() if n is None else n
+    variants = (width * width / 2 + width) / 2
+    bits = min(24, max(4, math.ceil(math.log2(max(1, n) * variants / BUCKET_VARIANTS))))
     masks = [0, *(1 << i for i in range(bits))]
     pairs = [1 << i | 1 << j for i in range(bits) for j in range(i)]
-    home = F.shiftrightunsigned("fp", 64 - bits)
+    home = F.shiftrightunsigned("fp", width - bits)
+    named, checked = "name" in rows.columns, "check" in rows.columns
 
     def places(flips: list[int]) -> F.Column:
         return F.array(*[home.bitwiseXOR(F.lit(m)) for m in flips])
 
     odd = F.bit_count("fp") % 2 == 1
-    routed = distinct.select("fp", F.explode(F.when(odd, places(masks)).otherwise(places(masks + pairs))).alias("bucket"))
+    routed = rows.select(*rows.columns, F.explode(F.when(odd, places(masks)).otherwise(places(masks + pairs))).alias("bucket"))
 
     def meet(group: pa.Table) -> pa.Table:
-        fps = np.unique(group.column("fp").to_numpy().view(np.uint64))
-        a, b = stars(fps, group.column("bucket")[0].as_py(), bits)
+        column = lambda c: group.column(c).to_numpy().view(np.uint64)
+        a, b = stars(
+            column("fp"), group.column("bucket")[0].as_py(), bits, width, column("name") if named else None, column("check") if checked else None
+        )
         return pa.Table.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     return routed.groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """id and root, the smallest id of its component, for all ids of the edges (a, b) but roots.
 
-    Alternates two steps until nothing changes: each vertex ties its larger neighbours to
-    the smallest one, then its smaller ones and itself.  Minima are pre-aggregated and
-    joined back, so that a vertex with very many neighbours can be split.  The edges of
-    each round are checkpointed.
+    Alternates two steps until nothing changes, which takes rounds in the order of the
+    logarithm of the ids: each vertex ties its larger neighbours to the smallest one, then
+    its smaller ones and itself.  Minima are pre-aggregated and joined back, so that a
+    vertex with very many neighbours can be split.  The edges of each round are checkpointed.
     """
     both = lambda e: e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
@@ -189,12 +222,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     now = durable(edges.filter("a != b").distinct())
     seen = state(now)
-    for _ in range(most_rounds):
+    while True:
         now = durable(step(step(now, True), False))
         if (found := state(now)) == seen:
             return now.select(F.col("a").alias("id"), F.col("b").alias("root"))
         seen = found
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
 def groups(of_doc: DataFrame) -> DataFrame:
@@ -213,25 +245,46 @@ def near_duplicates(docs: DataFrame, words_in_shingle: int = 3) -> DataFrame:
     )
 
 
-def one_of_each(docs: DataFrame, words_in_shingle: int = 3) -> DataFrame:
-    """The rows of docs, unchanged, less all but one of each component: the one with the smallest doc_id.
+def text_key() -> F.Column:
+    """A hash of the text, the same for null and empty ones."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def known_texts(of_doc: DataFrame, *features: str) -> DataFrame:
+    """key, own (the smallest doc_id), rows (how many have the text) and the features of every distinct text."""
+    return of_doc.groupBy("key").agg(F.min("doc_id").alias("own"), F.count("*").alias("rows"), *[F.first(c).alias(c) for c in features])
 
-    The fingerprints are computed a second time next to the texts, which is cheaper than
-    to keep the texts with them.  Only rows with a component's smallest id go into the
-    last step, so a group of copies is gone before rows meet by component.
+
+def survivors(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The rows of docs, unchanged, less all but one of each group: a row with its smallest doc_id.
+
+    ``rooted`` has key, own, rows and root (the group) of every distinct text.  Texts that
+    are alone in their group stay where they are; only keys of the others are looked up,
+    and only their first rows are shuffled.  Nulls come after all doc_ids.
     """
-    known = groups(durable(fingerprints(docs, words_in_shingle)))
-    at = docs.columns.index("text")
-    schema = StructType([StructField("rest", docs.schema), StructField("fp", LongType())])
+    first = F.struct(F.col("own").isNull().alias("z"), "own", "key")
+    groups = rooted.groupBy("root").agg(F.sum("rows").alias("total"), F.min(first).alias("first")).filter("total > 1")
+    special = durable(
+        rooted.join(groups, "root").select(F.col("key").alias("_key"), "root", F.col("first.own").alias("_own"), (F.col("first.key") == F.col("key")).alias("_first"))
+    )
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest")
+    joined = docs.select(rest, text_key().alias("key")).join(if_few(special), F.col("key") == F.col("_key"), "left")
+    ones = joined.filter("_first AND rest.doc_id <=> _own").select("rest", "root").dropDuplicates(["root"])
+    return joined.filter("_key IS NULL").select("rest.*").unionByName(ones.select("rest.*"))
+
+
+def one_of_each(docs: DataFrame, words_in_shingle: int = 3) -> DataFrame:
+    """The rows of docs, unchanged, less all but one of each component of fingerprints."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [fingerprint(t or b"", words_in_shingle) for t in arrow_texts(b.column(at))]
-            rest = pa.StructArray.from_arrays(b.columns, fields=list(b.schema))
-            yield pa.RecordBatch.from_arrays([rest, pa.array(found, pa.int64())], names=["rest", "fp"])
+            found = [fingerprint(t or b"", words_in_shingle) for t in arrow_texts(b.column("text"))]
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("doc_id"), pa.array(found, pa.int64())], names=["key", "doc_id", "fp"])
 
-    kept = docs.mapInArrow(each, schema).join(known, "fp").filter("rest.doc_id <=> least")
-    return kept.dropDuplicates(["root"]).select("rest.*")
+    of_doc = docs.select(text_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "key long, doc_id long, fp long")
+    known = durable(known_texts(of_doc, "fp"))
+    tied = components(links(known.select("fp").distinct()))
+    return survivors(docs, known.join(tied, known.fp == tied.id, "left").select("key", "own", "rows", F.coalesce("root", "fp").alias("root")))
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,8 @@ Three steps find them without a suffix ever travelling with its words:
    occurrence.  The others are told the node, and each block marks its words.
 
 The two hashes together have 128 bits.  Nulls and empty texts have no words.  Rows with
-equal doc_id stand in the order of their texts' bytes.  A row is removed from, never
+equal doc_id, or none, stand in the order of XXH64 of their texts, then of the texts, and
+may lie in several blocks.  A row is removed from, never
 removed: each gives one row.
 """
 
@@ -42,6 +43,10 @@ PREFIX = 8
 #: Suffixes that one group may hold before its prefix grows.
 GROUP_SUFFIXES = 1 << 21
 _BASES = [np.uint64(int(x) | 1) for x in np.random.default_rng(8).integers(1 << 62, 1 << 63, 2)]
+#: Windows that are hashed at once.
+TOGETHER = 1 << 19
+#: Text bytes of a block, and blocks whose keys a bucket should take.
+BLOCK_BYTES, BLOCKS_A_BUCKET = 6 << 20, 4
 #: Bytes whose word hashes are computed at once.
 SEGMENT = 1 << 18
 _BYTE = 0x9E3779B97F4A7C15 | 1
@@ -109,14 +114,17 @@ def _rolled(w: np.ndarray, length: int, base: np.uint64) -> np.ndarray:
 
 
 class Block:
-    """The documents of a block and the hashes of all their windows."""
+    """The documents of a block and the hashes of all their windows.
 
-    def __init__(self, group: pa.Table):
-        ids, texts = group.column("doc_id").to_pylist(), []
+    ``pruning`` asks for the least prefixes too, which removal doesn't need.
+    """
+
+    def __init__(self, group: pa.Table, pruning: bool = True):
+        ids, places, texts = group.column("doc_id").to_pylist(), group.column("place").to_pylist(), []
         for b in group.select(["text"]).to_batches():
             texts += arrow_texts(b.column("text"))
         late = 1 << 63
-        rows = sorted(range(len(ids)), key=lambda i: (late if ids[i] is None else ids[i], texts[i] or b""))
+        rows = sorted(range(len(ids)), key=lambda i: (late if ids[i] is None else ids[i], places[i], texts[i] or b""))
         self.order = rows
         self.ids = [ids[i] for i in rows]
         self.texts = [texts[i] or b"" for i in rows]
@@ -124,24 +132,30 @@ class Block:
         w, places = _words(np.frombuffer(b"\n".join([*self.texts, b""]), np.uint8))
         #: Where each document's words start among those of the block.
         self.starts = np.searchsorted(places, np.concatenate([[0], np.cumsum(lengths)]))
+        del places
         n = max(0, len(w) - WINDOW + 1)
         inside = np.ones(n, bool)  # windows that don't leave their document
         for end in self.starts[1:-1]:
             inside[max(0, end - WINDOW + 1) : end] = False
         self.at = np.flatnonzero(inside)
-        if not len(self.at):
-            self.top = self.below = self.least = np.zeros(0, np.uint64)
-            return
-        prefix = mix64(_rolled(w, PREFIX, _BASES[0]))
-        rest = mix64(_rolled(w, WINDOW - PREFIX, _BASES[1]))
-        span = WINDOW - PREFIX + 1
-        least, size = prefix, 1
-        while size * 2 <= span:
-            least, size = np.minimum(least[:-size], least[size:]), size * 2
-        if size < span:
-            least = np.minimum(least[: n], least[span - size : span - size + n])
-        self.top, self.below = prefix[self.at], rest[self.at + PREFIX]
-        self.least = mix64(least[self.at] * _BASES[1])  # least ones are small; spread them evenly again
+        self.top, self.below = np.empty(len(self.at), np.uint64), np.empty(len(self.at), np.uint64)
+        self.least = np.empty(len(self.at) if pruning else 0, np.uint64)
+        done = 0
+        for low in range(0, n, TOGETHER):  # windows that start in so many words, at a time
+            part = w[low : low + TOGETHER + WINDOW - 1]
+            here = np.flatnonzero(inside[low : low + TOGETHER])
+            to = done + len(here)
+            prefix = mix64(_rolled(part, PREFIX, _BASES[0]))
+            self.top[done:to] = prefix[here]
+            self.below[done:to] = mix64(_rolled(part, WINDOW - PREFIX, _BASES[1]))[here + PREFIX]
+            if pruning:
+                least, size, span = prefix, 1, WINDOW - PREFIX + 1
+                while size * 2 <= span:
+                    least, size = np.minimum(least[:-size], least[size:]), size * 2
+                if size < span:
+                    least = np.minimum(least[: size - span], least[span - size :])
+                self.least[done:to] = mix64(least[here] * _BASES[1])  # least ones are small; spread them evenly again
+            done = to
 
     def pruning(self) -> np.ndarray:
         return np.unique(self.least)
@@ -240,8 +254,8 @@ def remove_repeats(docs: DataFrame, whole: bool = True) -> DataFrame:
     kept_sha256 is of the kept words joined by one space; so is kept, but for texts that lose
     nothing, which come back as they are.  rest is the struct of all columns but text.
     """
-    blocks = range_blocks(docs, whole=whole)
-    buckets = 1 + (blocks.agg(F.max("block")).first()[0] or 0)
+    blocks = range_blocks(docs, BLOCK_BYTES, whole)
+    buckets = 1 + (blocks.agg(F.max("block")).first()[0] or 0) // BLOCKS_A_BUCKET
 
     def scan(group: pa.Table) -> pa.Table:
         block = group.column("block")[0].as_py()
@@ -300,7 +314,7 @@ def remove_repeats(docs: DataFrame, whole: bool = True) -> DataFrame:
     )
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
-        block = Block(left)
+        block = Block(left, pruning=False)
         blobs = right.column("keys").to_pylist()
         foreign = np.frombuffer(b"".join(blobs), np.uint64).reshape(-1, 2)
         gone = block.repeats(foreign)

@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 
 from graphloom.llm import bpe, common, language, mixing, quality, sharding, simhash, substring
-from tests.llm.helpers import documents, empty
+from tests.llm.helpers import documents, empty, words
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -19,8 +19,7 @@ def sha(x):
 
 @pytest.fixture
 def small_blocks(monkeypatch):
-    for f in (common.hash_blocks, common.range_blocks):
-        monkeypatch.setattr(f, "__defaults__", (20_000, *f.__defaults__[1:]))
+    monkeypatch.setattr(common.hash_blocks, "__defaults__", (20_000,))
 
 
 # --- BPE
@@ -162,7 +161,14 @@ def test_components_of_long_chains(spark):
 
 
 def brute_substring(rows):
-    order = sorted(range(len(rows)), key=lambda i: (rows[i].doc_id is None, rows[i].doc_id or 0, (rows[i].text or "").encode()))
+    import xxhash
+
+    def place(i):
+        data = (rows[i].text or "").encode()
+        h = xxhash.xxh64_intdigest(data, 42)  # as Spark's, signed
+        return (rows[i].doc_id is None, rows[i].doc_id or 0, h - (h >> 63 << 64), data)
+
+    order = sorted(range(len(rows)), key=place)
     seen, out = set(), {}
     for i in order:
         w = (rows[i].text or "").encode().split()
@@ -179,13 +185,26 @@ def brute_substring(rows):
 
 @pytest.mark.parametrize("size", [12 << 20, 3000])
 def test_substring(spark, monkeypatch, size):
-    f = common.range_blocks
-    monkeypatch.setattr(f, "__defaults__", (size, *f.__defaults__[1:]))
+    monkeypatch.setattr(substring, "BLOCK_BYTES", size)
     docs = documents(spark)
     got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeats(docs, whole=False).collect())
     assert got == brute_substring(docs.collect())
 
 
+def test_substring_without_ids(spark, monkeypatch):
+    """Nine of ten rows have no doc_id, one id repeats, one text is long: blocks stay even and nothing is lost."""
+    monkeypatch.setattr(substring, "BLOCK_BYTES", 40_000)
+    rng = random.Random(12)
+    shared = [words(rng, 30) for _ in range(20)]
+    text = lambda: " ".join([words(rng, rng.randint(0, 30)), rng.choice(shared), words(rng, 5)])
+    rows = [(None if i % 10 else 7 if i % 20 else i, text()) for i in range(600)] + [(3, " ".join(text() for _ in range(700)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeats(docs, whole=False).collect())
+    assert got == brute_substring(docs.collect())
+    counts = {r.block: r["count"] for r in common.range_blocks(docs, 40_000).groupBy("block").count().collect()}
+    assert len(counts) > 8 and max(counts.values()) < 200
+
+
 def test_substring_stage(spark):
     docs = documents(spark)
     out = substring.cleaned(docs)
