@@ -1,15 +1,19 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 Every text is cut into chunks where a rolling hash of its bytes says so, so equal
-passages give equal chunks wherever they stand.  A chunk that several blocks of
-documents hold is encoded once, by the lowest of these blocks, and its ids travel to the
-others; all other chunks are encoded where they are.  The cut may fall inside a word, so
-each join is repaired: the run of characters from the last white space before the cut to
-the first one after it is encoded anew and replaces what the two chunks gave for it.
-Where a chunk has no white space at all the run grows over the next chunk, and so on,
-until both ends stand at white space.  From there on both encodings agree, since the
-tokenizer's words never span white space; ``Codec`` refuses tokenizers for which that
-isn't so.
+passages give equal chunks wherever they stand.  Each distinct chunk of the corpus is
+encoded once: one that several blocks of documents hold by the lowest of these blocks,
+whose ids travel to the others, and any other by its block.  The cut may fall inside a
+word, so each join is repaired by encoding its surroundings anew until they agree with
+what either chunk gave.
+
+Where a tokenizer's words never span white space agreement is certain at white space: the
+run of characters from the last one before the cut to the first one after it is encoded
+anew, and grows over the next chunk where a chunk has none.  For all other tokenizers the
+window grows on both sides, word by word, until its first word is one of the left chunk
+and its last but one is one of the right chunk, with the same characters and ids, both
+further from the cut than the longest special token.  Tokenizers that change the text
+before they part it in ways that leave no trace of places are refused.
 
 Nulls and empty texts have no ids and decode to the empty text.  Repeated rows give
 repeated rows.  Columns besides doc_id and text are ignored.
@@ -24,17 +28,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import arrow_texts, hash_blocks, single_thread
+from graphloom.llm.common import arrow_texts, hash_blocks, of_groups, release, single_thread
 
 #: A cut follows each byte where the low bits of the rolling hash are zero: every 2 KB on average.
 CUT_MASK = (1 << 11) - 1
 #: Bytes that no chunk exceeds (but for the rest of a character).
 LONGEST = 1 << 14
 #: Runs that a process remembers; past that it starts afresh.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 
 #: How a tokenizer parts words for which a run of letters and the signs behind it encode apart.
 _PARTED = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -84,6 +89,10 @@ def chunk_hash(chunk: bytes) -> bytes:
     return hashlib.blake2b(chunk, digest_size=16).digest()
 
 
+#: Where a word starts and ends, in characters, and its ids.
+Word = tuple[int, int, tuple[int, ...]]
+
+
 class Codec:
     """A tokenizer that keeps the ids of runs (what stands between white space)."""
 
@@ -100,9 +109,13 @@ class Codec:
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype(np.uint16 if size <= 1 << 16 else np.uint32)
         probe = ["Don't", "naïve—x", "10%", "<|endoftext|>"]
-        for space in " \t\n\r\x0b\x0c":
-            if self._ids(space.join(probe)) != sum(map(self._ids, probe), []):
-                raise ValueError("the tokenizer's words may span white space; chunks can't be joined exactly")
+        #: Whether words never span white space.
+        self.spaced = all(self._ids(space.join(probe)) == sum(map(self._ids, probe), []) for space in " \t\n\r\x0b\x0c")
+        if not self.spaced:
+            self._untrimmed()
+            self.words("  ".join(probe) + " \n\n ä")
+        #: Characters that the longest special token takes.
+        self.reach = max([len(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()], default=0)
         settings = json.loads(self.tokenizer.to_str())
         kinds = [n.get("type") for n in (settings["normalizer"] or {}).get("normalizers", [])]
         splits = [p.get("pattern", {}).get("Regex") for p in (settings["pre_tokenizer"] or {}).get("pretokenizers", [])]
@@ -120,6 +133,28 @@ class Codec:
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _untrimmed(self) -> None:
+        """Places of words with the white space that belongs to them."""
+        from tokenizers import processors
+
+        if json.loads(self.tokenizer.to_str())["post_processor"] is not None:
+            self.tokenizer.post_processor = processors.ByteLevel(trim_offsets=False)
+
+    def words(self, text: str) -> list[Word]:
+        """The words that the tokenizer parts a text into, which together are the text."""
+        found = self.tokenizer.encode(text, add_special_tokens=False)
+        out: list[Word] = []
+        last = None
+        for i, (start, end), word in zip(found.ids, found.offsets, found.word_ids, strict=True):
+            if out and word is not None and word == last:
+                out[-1] = (out[-1][0], max(end, out[-1][1]), (*out[-1][2], i))
+            else:
+                out.append((start, end, (i,)))
+            last = word
+        if [w[0] for w in out] != [0, *(w[1] for w in out)][: len(out)] or (out[-1][1] if out else 0) != len(text):
+            raise ValueError("the tokenizer's words don't tile the text; chunks can't be joined exactly")
+        return out
+
     def learn(self, runs: Iterable[bytes]) -> None:
         """Encode the runs that aren't known yet, all in one call."""
         if len(self.known) > REMEMBERED:
@@ -171,7 +206,16 @@ def edges(chunk: bytes) -> tuple[int, int]:
 
 
 def encode_chunk(codec: Codec, chunk: bytes) -> tuple[bytes, int, int]:
-    """Packed ids of a chunk taken by itself, and the bytes of them that its first and last run take."""
+    """Packed ids of a chunk taken by itself, and the bytes of them that its first and last run take.
+
+    For tokenizers whose words may span white space the ids stand behind the ends and the
+    lengths of all words, and the two numbers are how many words and ids there are.
+    """
+    if not codec.spaced:
+        words = codec.words(chunk.decode())
+        ids = [i for w in words for i in w[2]]
+        shape = np.array([*(w[1] for w in words), *(len(w[2]) for w in words), *ids], np.uint32)
+        return shape.tobytes(), len(words), len(ids)
     ids = codec.runs(chunk.split())
     head, tail = edges(chunk)
     return (
@@ -186,6 +230,9 @@ def join_chunks(codec: Codec, parts: list[tuple[bytes, bytes, int, int]]) -> byt
 
     ``pending`` is the text of a run that reached the end of what has been joined.
     """
+    if not codec.spaced:
+        found = join_words(codec, [(chunk.decode(), _words_of(packed, n)) for chunk, packed, n, _ in parts])
+        return np.array(found, codec.dtype).tobytes()
     out: list[bytes] = []
     pending = b""
     for chunk, ids, first, last in parts:
@@ -206,6 +253,58 @@ def join_chunks(codec: Codec, parts: list[tuple[bytes, bytes, int, int]]) -> byt
     return b"".join(out)
 
 
+def _words_of(packed: bytes, n: int) -> list[Word]:
+    numbers = np.frombuffer(packed, np.uint32).tolist()
+    ends, lengths, ids = numbers[:n], numbers[n : 2 * n], numbers[2 * n :]
+    out, start, at = [], 0, 0
+    for end, k in zip(ends, lengths, strict=True):
+        out.append((start, end, tuple(ids[at : at + k])))
+        start, at = end, at + k
+    return out
+
+
+def join_words(codec: Codec, parts: list[tuple[str, list[Word]]]) -> list[int]:
+    """The ids of a text from its chunks and their words.
+
+    ``now`` are the words of the text ``held`` that may still change at its end.
+    """
+    out: list[int] = []
+    held, now = "", []
+    for text, words in parts:
+        if not now:
+            held, now = text, words
+            continue
+        left, right = len(now) - 1, 0
+        step = 2
+        while True:
+            while left > 0 and (len(now) - left < step or len(held) - now[left][0] < codec.reach):
+                left -= 1
+            while right < len(words) and (right < step or words[right - 1][1] < codec.reach):
+                right += 1
+            start, cut = now[left][0], len(held) - now[left][0]
+            whole = right == len(words)
+            window = codec.words(held[start:] + (text if whole else text[: words[right - 1][1]]))
+            agrees = left == 0 or (window[0][1], window[0][2]) == (now[left][1] - start, now[left][2])
+            own = {w: i for i, w in enumerate(words[: right - 1])}
+            met = next(
+                ((k, own[w]) for k, (a, b, ids) in enumerate(window[:-1]) if a - cut >= codec.reach and (w := (a - cut, b - cut, ids)) in own), None
+            )
+            if agrees and (met or whole):
+                break
+            step *= 2
+        for _, _, ids in now[:left]:
+            out += ids
+        if met:
+            for _, _, ids in window[: met[0]]:
+                out += ids
+            held, now = text, words[met[1] :]
+        else:
+            held, now = held[start:] + text, window
+    for _, _, ids in now:
+        out += ids
+    return out
+
+
 def _split(data: bytes) -> list[bytes]:
     at, out = 0, []
     for end in cuts(data):
@@ -221,10 +320,11 @@ def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[object, bytes]]:
         )
 
 
-def encode(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str, with_ids: bool = True, encoded: Accumulator | None = None) -> DataFrame:
     """doc_id, text and one row out for each in: doc_id, n_tokens, ids_sha256, decoded_sha256 and ids.
 
     ids (array of int) is left out if ``with_ids`` is false.  A null text counts as empty.
+    ``encoded`` counts the chunks that were encoded.
 
     The texts are shuffled once, by block; all passes read that one exchange.  Between
     passes go hashes of chunks, 20 bytes each, and the ids of shared chunks.
@@ -240,6 +340,7 @@ def encode(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(found), pa.binary()), pa.array([block] * len(found), pa.int32())], names=["chunk", "block"]
         )
+        release()
 
     # One row for each chunk and block: a block has merged its own copies, so the hottest
     # chunk has as many rows as there are blocks.
@@ -259,6 +360,8 @@ def encode(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
             for chunk in _split(data):
                 if (h := chunk_hash(chunk)) in wanted:
                     wanted.discard(h)
+                    if encoded is not None:
+                        encoded.add(1)
                     rows.append((h, *encode_chunk(codec, chunk)))
         columns = list(zip(*rows, strict=True)) or [[], [], [], []]
         kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int32())
@@ -269,7 +372,7 @@ def encode(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
     once = (
         blocks.groupBy("block")
         .cogroup(shared.filter("block = owner").groupBy("block"))
-        .applyInArrow(own, "chunk binary, ids binary, first int, last int")
+        .applyInArrow(of_groups(own), "chunk binary, ids binary, first int, last int")
     )
     given = shared.select("chunk", "block").join(once, "chunk")
 
@@ -287,8 +390,12 @@ def encode(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
         for doc_id, data in _texts(left.to_batches()):
             parts = []
             for chunk in _split(data):
-                got = have.get(chunk_hash(chunk)) if have else None
-                parts.append((chunk, *(got or encode_chunk(codec, chunk))))
+                h = chunk_hash(chunk)
+                if (got := have.get(h)) is None:
+                    got = have[h] = encode_chunk(codec, chunk)
+                    if encoded is not None:
+                        encoded.add(1)
+                parts.append((chunk, *got))
             ids = np.frombuffer(raw := join_chunks(codec, parts), codec.dtype).tolist()
             digits = codec.digits
             for column, value in zip(
@@ -314,7 +421,7 @@ def encode(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
         return pa.Table.from_arrays(arrays, names=names)
 
     kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return blocks.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(whole, kind)
+    return blocks.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(of_groups(whole), kind)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

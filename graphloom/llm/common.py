@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.ml.feature import Bucketizer
@@ -16,16 +18,20 @@ from graphloom.storage import durable, written  # noqa: F401  for the operators
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Text bytes that one block of documents should hold.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_bytes(docs: DataFrame) -> int:
-    """UTF-8 bytes of all texts; one narrow scan, one number to the driver."""
-    return docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+#: What a row costs a block besides its text.
+ROW_BYTES = 512
+
+
+def _weight() -> F.Column:
+    """Bytes of rows with their texts."""
+    return F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES)
 
 
 def block_count(total_bytes: int, block_bytes: int = BLOCK_BYTES) -> int:
@@ -38,7 +44,7 @@ def hash_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     Rows that repeat both land together; the number of blocks follows the bytes, so
     that a block stays the same size on any corpus.
     """
-    n = block_count(text_bytes(docs), block_bytes)
+    n = block_count(docs.agg(_weight()).first()[0] or 0, block_bytes)  # one narrow scan, one number to the driver
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n)).cast("int").alias("block")
     )
@@ -46,8 +52,6 @@ def hash_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 #: Pieces of the doc_ids' range whose sizes the driver learns.
 PIECES = 4096
-#: What a row costs besides its text.
-ROW_BYTES = 512
 
 
 def range_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, whole: bool = False) -> DataFrame:
@@ -63,8 +67,7 @@ def range_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, whole: bool =
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest")
     columns = ["doc_id", "text", "place", *["rest"] * whole]
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("place"), *[rest] * whole)
-    weight = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES)
-    size = docs.agg(weight).first()[0] or 0
+    size = docs.agg(_weight()).first()[0] or 0
     pieces = min(PIECES, 4 * block_count(size, block_bytes))
     edges: list[float] = []
     if pieces > 4:
@@ -75,7 +78,7 @@ def range_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, whole: bool =
     # A binary search in the JVM.  Doubles keep the order of longs, which is all that matters.
     at = Bucketizer(splits=[float("-inf"), *(edges or [0.0]), float("inf")], inputCol="_at", outputCol="_piece")
     pieced = at.transform(narrow.withColumn("_at", F.col("doc_id").cast("double"))).withColumn("_piece", F.coalesce("_piece", F.lit(1e6)).cast("int"))
-    sizes = pieced.groupBy("_piece").agg(weight.alias("bytes"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).orderBy("_piece").collect()
+    sizes = pieced.groupBy("_piece").agg(_weight().alias("bytes"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).orderBy("_piece").collect()
     # A piece of more than a block is cut into parts; smaller ones share blocks as they follow each other.
     plan, block, room = [], -1, 0
     for r in sizes:
@@ -109,6 +112,39 @@ def single_thread() -> None:
     os.environ.setdefault("OMP_NUM_THREADS", "1")
 
 
+def release() -> None:
+    """Memory that is free goes back to the system: a worker is kept, and its next task may need little."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def of_group(f: Callable) -> Callable:
+    """A function of one table for ``applyInArrow`` that leaves nothing behind."""
+
+    def each(group):
+        out = f(group)
+        release()
+        return out
+
+    return each
+
+
+def of_groups(f: Callable) -> Callable:
+    """The same of two tables."""
+
+    def each(left, right):
+        out = f(left, right)
+        release()
+        return out
+
+    return each
+
+
 def arrow_texts(column) -> list[bytes | None]:
     """An Arrow string column as UTF-8 bytes, without decoding."""
     import pyarrow as pa

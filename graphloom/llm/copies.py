@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import arrow_texts, durable, if_few, mix64
+from graphloom.llm.common import arrow_texts, durable, if_few, mix64, of_group, release
 from graphloom.llm.simhash import _LOWER, SEED, _components, components, known_texts, links, survivors, text_key
 
 WORDS = 5
@@ -105,6 +105,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, TABLES), pa.int32()), pa.array(flat, pa.int64()))
             numbers = [pa.array([len(s) for s in sets], pa.int64()), lists, pa.array([c for _, c in found], pa.int64())]
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("doc_id"), *numbers], names=["key", "doc_id", "n", "fps", "check"])
+            release()
 
     of_doc = docs.select(text_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         each, "key long, doc_id long, n long, fps array<long>, check long"
@@ -113,16 +114,18 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def classes(known: DataFrame) -> DataFrame:
-    """key and class of the texts that meet others, not yet held against each other."""
-    n = known.count()
-    met = links(known.select(F.explode("fps").alias("fp"), F.col("key").alias("name"), "check"), WIDTH, n)
-    tied = components(met)
-    return tied.select(F.col("id").alias("key"), F.col("root").alias("class")).unionAll(tied.select("root", "root").distinct())
+    """key, class, own and n of the texts that meet others, not yet held against each other."""
+    # Vertices are the checks; texts that share one have nearly equal sets and are a class at any rate.
+    shapes = durable(known.groupBy("check").agg(F.first("fps").alias("fps"), F.count("*").alias("texts")))
+    tied = components(links(shapes.select(F.explode("fps").alias("fp"), "check"), WIDTH, shapes.count()))
+    member = tied.select(F.col("id").alias("check"), F.col("root").alias("class")).unionAll(tied.select("root", "root").distinct())
+    alone = shapes.filter("texts > 1").join(member, "check", "left_anti").select("check", F.col("check").alias("class"))
+    return known.join(member.unionAll(alone), "check").select("key", "class", "own", "n")
 
 
 def verified(docs: DataFrame, known: DataFrame) -> DataFrame:
     """Links (a, b) between keys whose components are those of all pairs in a class that are alike."""
-    members = durable(classes(known).join(known.select("key", "own", "n"), "key"))
+    members = durable(classes(known))
     weight = F.sum(F.col("n") * 8 + 64)
     sizes = members.groupBy("class").agg(
         F.ceil(F.greatest(weight / PART_BYTES, F.count("*") / PART_TEXTS)).cast("long").alias("parts")
@@ -139,6 +142,7 @@ def verified(docs: DataFrame, known: DataFrame) -> DataFrame:
             found = [shingles(t or b"").tobytes() for t in arrow_texts(b.column("text"))]
             columns = [b.column(c) for c in ("key", "class", "parts", "part")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.binary())], names=["key", "class", "parts", "part", "hashes"])
+            release()
 
     sets = (
         docs.select(text_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -172,7 +176,7 @@ def verified(docs: DataFrame, known: DataFrame) -> DataFrame:
             right.append(keys[root[linked]])
         return pa.Table.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
 
-    return cells.groupBy("cell").applyInArrow(solve, "a long, b long")
+    return cells.groupBy("cell").applyInArrow(of_group(solve), "a long, b long")
 
 
 def groups(docs: DataFrame) -> DataFrame:

@@ -30,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import arrow_texts, durable, if_few
+from graphloom.llm.common import arrow_texts, durable, if_few, of_group
 
 SEED = 42
 RADIUS = 3
-#: Variants that a bucket of leading bits should unfold.
-BUCKET_VARIANTS = 1 << 20
+#: Variants that a bucket of leading bits should take, and that a task unfolds of it at once.
+BUCKET_VARIANTS, UNFOLDED = 1 << 26, 1 << 21
 #: Bits that second fingerprints may be apart.
 FAR = 16
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -139,27 +139,26 @@ def star_pairs(fps: np.ndarray, bucket: int, bits: int, width: int = 64) -> tupl
 
 
 def stars(
-    fps: np.ndarray, bucket: int, bits: int, width: int = 64, names: np.ndarray | None = None, checks: np.ndarray | None = None
+    fps: np.ndarray, bucket: int, bits: int, width: int = 64, checks: np.ndarray | None = None
 ) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (name, the smallest name of its component here) of those linked in this bucket.
 
-    Names are the fingerprints themselves if none are given.  ``checks`` are second
-    fingerprints: pairs whose checks are over FAR bits apart don't link.  A bucket of too
-    many variants is solved in halves, by one more leading bit.
+    Names are the fingerprints themselves, or ``checks``: second fingerprints, and pairs
+    whose checks are over FAR bits apart don't link.  A bucket of too many variants is
+    solved in halves, by one more leading bit.
     """
-    names = fps if names is None else names
-    if len(fps) * width > 2 * BUCKET_VARIANTS and width - bits > 16:
+    names = fps if checks is None else checks
+    if len(fps) * width > UNFOLDED and width - bits > 16:
         found = []
         for half in (2 * bucket, 2 * bucket + 1):
             near = np.flatnonzero(np.bitwise_count((fps >> np.uint64(width - bits - 1)) ^ np.uint64(half)) <= 2)
-            found.append(stars(fps[near], half, bits + 1, width, names[near], None if checks is None else checks[near]))
+            found.append(stars(fps[near], half, bits + 1, width, None if checks is None else checks[near]))
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
     order = np.argsort(names, kind="stable")
     fps, names = fps[order], names[order]
     a, b = star_pairs(fps, bucket, bits, width)
     if checks is not None:
-        checks = checks[order]
-        fine = np.bitwise_count(checks[a] ^ checks[b]) <= FAR
+        fine = np.bitwise_count(names[a] ^ names[b]) <= FAR
         a, b = a[fine], b[fine]
     root = _components(a, b, len(fps))
     linked = np.flatnonzero(root != np.arange(len(fps)))
@@ -167,19 +166,19 @@ def stars(
 
 
 def links(rows: DataFrame, width: int = 64, n: int | None = None) -> DataFrame:
-    """Stars of linked fingerprints, a and b, from distinct ones (fp), or of their names.
+    """Stars of linked fingerprints, a and b, from distinct ones (fp), or of their checks.
 
-    All links within the radius run along the stars of one bucket.  Columns name and check
-    (longs) are used where there are any; ``n`` is the number of rows that share what
+    All links within the radius run along the stars of one bucket.  Where there is a column
+    check (long) its values are linked, and rows are distinct in both; ``n`` is the number of rows that share what
     stands above the fingerprint's ``width`` bits, else all.
     """
     n = rows.count() if n is None else n
     variants = (width * width / 2 + width) / 2
-    bits = min(24, max(4, math.ceil(math.log2(max(1, n) * variants / BUCKET_VARIANTS))))
+    bits = min(24, max(5, math.ceil(math.log2(max(1, n) * variants / BUCKET_VARIANTS))))
     masks = [0, *(1 << i for i in range(bits))]
     pairs = [1 << i | 1 << j for i in range(bits) for j in range(i)]
     home = F.shiftrightunsigned("fp", width - bits)
-    named, checked = "name" in rows.columns, "check" in rows.columns
+    checked = "check" in rows.columns
 
     def places(flips: list[int]) -> F.Column:
         return F.array(*[home.bitwiseXOR(F.lit(m)) for m in flips])
@@ -189,12 +188,10 @@ def links(rows: DataFrame, width: int = 64, n: int | None = None) -> DataFrame:
 
     def meet(group: pa.Table) -> pa.Table:
         column = lambda c: group.column(c).to_numpy().view(np.uint64)
-        a, b = stars(
-            column("fp"), group.column("bucket")[0].as_py(), bits, width, column("name") if named else None, column("check") if checked else None
-        )
+        a, b = stars(column("fp"), group.column("bucket")[0].as_py(), bits, width, column("check") if checked else None)
         return pa.Table.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    return routed.groupBy("bucket").applyInArrow(meet, "a long, b long")
+    return routed.groupBy("bucket").applyInArrow(of_group(meet), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

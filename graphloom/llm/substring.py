@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from graphloom.llm.common import arrow_texts, mix64, range_blocks
+from graphloom.llm.common import arrow_texts, mix64, of_group, of_groups, range_blocks
 
 WINDOW = 20
 PREFIX = 8
@@ -275,9 +275,9 @@ def remove_repeats(docs: DataFrame, whole: bool = True) -> DataFrame:
 
     shared = (
         blocks.groupBy("block")
-        .applyInArrow(scan, "bucket int, block int, keys binary")
+        .applyInArrow(of_group(scan), "bucket int, block int, keys binary")
         .groupBy("bucket")
-        .applyInArrow(prune, "block int, keys binary")
+        .applyInArrow(of_group(prune), "block int, keys binary")
     )
 
     def suffixes(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -308,9 +308,9 @@ def remove_repeats(docs: DataFrame, whole: bool = True) -> DataFrame:
     nodes = (
         blocks.groupBy("block")
         .cogroup(shared.groupBy("block"))
-        .applyInArrow(suffixes, "bucket int, block int, keys binary")
+        .applyInArrow(of_groups(suffixes), "bucket int, block int, keys binary")
         .groupBy("bucket")
-        .applyInArrow(subtree, "block int, keys binary")
+        .applyInArrow(of_group(subtree), "block int, keys binary")
     )
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -339,7 +339,7 @@ def remove_repeats(docs: DataFrame, whole: bool = True) -> DataFrame:
     kind = StructType().add("doc_id", "long").add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
     if whole:
         kind = kind.add("kept", "string").add("rest", blocks.schema["rest"].dataType)
-    return blocks.groupBy("block").cogroup(nodes.groupBy("block")).applyInArrow(remove, kind)
+    return blocks.groupBy("block").cogroup(nodes.groupBy("block")).applyInArrow(of_groups(remove), kind)
 
 
 def cleaned(docs: DataFrame) -> DataFrame:

@@ -73,9 +73,33 @@ def test_joins_of_any_cut_are_exact():
         assert np.frombuffer(joined, codec.dtype).tolist() == want
 
 
-def test_tokenizers_that_join_over_white_space_are_refused():
-    with pytest.raises(ValueError):
-        bpe.Codec(public_tokenizers.path("byte_bpe_50k.json"))
+def test_each_distinct_chunk_is_encoded_once(spark, small_blocks):
+    rng = random.Random(11)
+    passage = words(rng, 3000)
+    docs = spark.createDataFrame([(i, f"{words(rng, 20)} {passage} {words(rng, 400)}") for i in range(12)], "doc_id long, text string")
+    chunks = [c for r in docs.collect() for c in bpe._split(r.text.encode())]
+    count = spark.sparkContext.accumulator(0)
+    bpe.encode(docs, PATH, encoded=count).collect()
+    assert count.value == len(set(chunks)) < 0.7 * len(chunks)
+
+
+def test_tokenizers_that_join_over_white_space(spark, small_blocks):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    codec = bpe.Codec.load(path)
+    assert not codec.spaced
+    rng = random.Random(5)
+    text = "it's  naïve: don't\n\n\n re-encode   1234 <|endoftext|>x  ünïcödé\t漢字 abc's   \n" * 3
+    for _ in range(200):
+        places = sorted(rng.sample(range(1, len(text)), 6))
+        parts = [text[a:b].encode() for a, b in zip([0, *places], [*places, len(text)])]
+        joined = bpe.join_chunks(codec, [(p, *bpe.encode_chunk(codec, p)) for p in parts])
+        assert np.frombuffer(joined, codec.dtype).tolist() == t.encode(text, add_special_tokens=False).ids
+    got = sorted((str(r.doc_id), r.n_tokens, r.ids_sha256) for r in bpe.encode(documents(spark), path).collect())
+    want = [(r.doc_id, t.encode(r.text or "", add_special_tokens=False).ids) for r in documents(spark).collect()]
+    assert got == sorted((str(i), len(ids), sha(" ".join(map(str, ids)))) for i, ids in want)
 
 
 # --- SimHash
