@@ -13,8 +13,8 @@ into equal stretches of at most 8 KB, and its row is the mean of theirs; as all
 follows is linear, its scores are the means of its stretches' scores.  Stretches without a
 letter don't count where another has one.
 
-Training reads a bounded sample of labelled rows (``sample``, ``landmarks`` and
-``sample_bytes`` are parameters), each whole; prediction reads every text whole.  A text that is null
+Training reads a bounded sample of labelled rows, as many for each language (``sample`` and
+``landmarks`` are parameters), each whole; prediction reads every text whole.  A text that is null
 or has no letter is ``und`` with score 0.  Other scores are the softmax of the regressions.
 Languages are compared by score, ties go to the first by code point.  Repeated rows give
 repeated rows.  With no labelled row to learn from every text is ``und``.
@@ -27,17 +27,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import arrow_texts
+from graphloom.llm.common import arrow_texts, release
 
 COLUMNS = 1 << 12
 LONGEST_GRAM = 4
 BATCH = 512
 STRETCH = 1 << 13
-#: A sampled text counts for at most so many bytes, as no more than its row reaches the driver.
-MOST_COUNTED = 1 << 16
 #: Sharpness of the softmax that turns regression outputs, about 0 and 1, into a score.
 SHARPNESS = 6.0
 #: Least score of a text that ``accepted`` keeps: its language is as likely as all others together.
@@ -151,49 +149,40 @@ def remainder(n: int) -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
 
 
-def train(docs: DataFrame, sample: int = 1500, sample_bytes: int = 8 << 20, landmarks: int = 160) -> Model | None:
-    """Fit on at most ``sample`` labelled rows for each language, the first by a hash of doc_id.
+def train(docs: DataFrame, sample: int = 1500, landmarks: int = 160) -> Model | None:
+    """Fit on ``sample`` labelled texts in all, in equal parts for each language, the first by a hash of doc_id and text.
 
-    The languages come from all labelled rows.  Texts are taken whole, whatever their size,
-    until the sample has ``sample_bytes``, in which one counts for at most 64 KB.
+    The languages come from all labelled rows, one row each to the driver.  A text is taken
+    whole, whatever its size; only its row of the kernel, at most 16 KB, leaves its task.
+    Rows that repeat count once.
     """
-    labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL").filter(remainder(3) != 1)
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    spread = F.pmod(F.xxhash64(F.lit(11), "doc_id", "text"), F.lit(1 << 40))
+    labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL").filter(remainder(3) != 1).withColumn("_h", spread)
+    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.approx_count_distinct("_h").alias("n")).collect()}
     if not counts:
         return None
-    each = max(1, sample // len(counts))
-    # A hash threshold with room to spare stands for the order, so nothing is sorted.
-    spread = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 40))
-    rates = {k: min(1.0, 1.3 * each / n) for k, n in counts.items()}
-    wanted = F.lit(False)
-    for k, rate in rates.items():
-        wanted = wanted | ((F.col("lang") == k) & (spread < int(rate * (1 << 40)) + 1))
+    part = max(1, sample // len(counts))
+    # A threshold on the hash, with room to spare, stands for the order, so only the sample is sorted.
+    bounds = [c for k, n in counts.items() for c in (F.lit(k), F.lit(int(min(1.0, (1.4 * part + 40) / n) * (1 << 40)) + 1))]
+    chosen = labelled.filter(F.col("_h") < F.element_at(F.create_map(*bounds), F.col("lang")))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = arrow_texts(b.column("text"))
-            for at in range(0, len(texts), BATCH):
-                part = texts[at : at + BATCH]
-                columns = [b.column(c).slice(at, len(part)) for c in ("lang", "h", "doc_id")]
-                found = [pa.array([len(t) for t in part], pa.int64()), pa.array([_packed(t) for t in part], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*columns, *found], names=["lang", "h", "doc_id", "bytes", "row"])
+            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("h"), pa.array([_packed(t) for t in texts], pa.binary())], names=["lang", "h", "row"])
+            release()
 
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "row"))
     rows = (
-        labelled.filter(wanted)
-        .select("lang", spread.alias("h"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .mapInArrow(each, "lang string, h long, doc_id long, bytes long, row binary")
-        .orderBy("h", "doc_id")
-        .limit(2 * sample)
+        chosen.select("lang", F.col("_h").alias("h"), "text")
+        .mapInArrow(each, "lang string, h long, row binary")
+        .distinct()
+        .withColumn("at", first)  # over the sample
+        .filter(F.col("at") <= part)
+        .orderBy("at", "lang")
+        .collect()
     )
-    found, languages, total = [], [], 0
-    for r in rows.collect():
-        counted = min(r.bytes, MOST_COUNTED)
-        if total + counted > sample_bytes:
-            continue
-        total += counted
-        found.append(_unpacked(r.row))
-        languages.append(r.lang)
-    return fit(np.stack(found), languages, landmarks) if found else None
+    return fit(np.stack([_unpacked(r.row) for r in rows]), [r.lang for r in rows], landmarks)
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -208,6 +197,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(langs), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"]
             )
+            release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, lang_pred string, score double")
 
@@ -243,6 +233,7 @@ def accepted(docs: DataFrame, model: Model | None, least: float = LEAST) -> Data
                 langs, scores = predict(held.value, texts)
                 keep = [x != "und" and s >= least for x, s in zip(langs, scores.tolist(), strict=True)]
             yield b.filter(pa.array(keep, pa.bool_()))
+            release()
 
     return docs.mapInArrow(each, docs.schema)
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import WORD, durable
+from graphloom.llm.common import WORD, durable, if_few
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2.0
@@ -116,14 +116,15 @@ def mix(
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """The rows of docs, each as often as the mix takes it; the one at the cut comes whole.
 
-    Rows with the same doc_id, source and text count as one that is taken as often as all
-    of them.  Rows of size zero are taken never.
+    Rows with the same doc_id, source and text share what the mix takes of all of them,
+    each with its own other columns: so many times each, and one more of some.  Rows of
+    size zero are taken never.
     """
     times = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0)
-    plan = (
+    plan = durable(
         mix(docs, weights, share, most)
         .groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("copy").alias("_c"))
-        .agg(F.sum(times).cast("int").alias("_times"))
+        .agg(F.sum(times).cast("long").alias("_times"), F.count("*").alias("_rows"))
         .filter("_times > 0")
     )
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_rest")
@@ -132,10 +133,18 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
         F.col("doc_id").alias("_i"),
         F.col("source").alias("_o"),
         F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("_t"),
-    ).dropDuplicates(["_i", "_o", "_t"])
+    )
+    same = F.expr("_i <=> _d AND _o <=> _s AND _t = _c")
+    # A row that stands alone needs no number among its like.
+    alone = keyed.join(plan.filter("_rows = 1"), same).select("_rest", "_times")
+    nth = F.row_number().over(Window.partitionBy("_i", "_o", "_t").orderBy(F.xxhash64("_rest"))) - 1
+    others = keyed.join(if_few(plan.filter("_rows > 1")), same).withColumn("_n", nth).select(
+        "_rest", (F.floor(F.col("_times") / F.col("_rows")) + F.when(F.col("_n") < F.col("_times") % F.col("_rows"), 1).otherwise(0)).alias("_times")
+    )
     return (
-        keyed.join(plan, F.expr("_i <=> _d AND _o <=> _s AND _t = _c"))
-        .select("_rest", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+        alone.unionAll(others)
+        .filter("_times > 0")
+        .select("_rest", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
         .select("_rest.*")
     )
 

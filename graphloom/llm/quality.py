@@ -7,8 +7,8 @@ one probability.  Training minimises cross entropy by Adam, with derivatives wri
 in numpy, on a bounded sample of labelled rows; scoring reads every text whole, a fixed number of chunks at a time.
 
 A null text counts as empty; an empty one has a single chunk of padding and so the score
-that the network gives to nothing.  Repeated rows give repeated rows; repeated labels
-count as often as they stand there.  Without any label all scores are 0.5.
+that the network gives to nothing.  Repeated rows give repeated rows; rows and labels that
+repeat count once in training.  Without any label all scores are 0.5.
 """
 
 from __future__ import annotations
@@ -20,15 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import arrow_texts
+from graphloom.llm.common import arrow_texts, release
 
 HOP = 256  # bytes from a chunk's start to the next one's
 STEP = 4  # bytes from a filter's place to the next one's
 REACH = 2 * STEP  # bytes that a filter sees; chunks overlap by REACH - STEP
 VECTOR, FILTERS, HIDDEN = 8, 32, 24
 THRESHOLD = 0.7
-#: Chunks that are scored at once.
+#: Chunks that are scored at once, and that a text of the training sample gives.
 CHUNKS = 1024
+TRAINED = 64
 
 
 def chunked(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -44,6 +45,14 @@ def chunked(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, starts
 
 
+def spread(data: bytes, most: int = TRAINED) -> bytes:
+    """A text of at most ``most`` chunks, or so many of its chunks, evenly over all of it, one after another."""
+    n = -(-len(data) // HOP)
+    if n <= most:
+        return data
+    return b"".join([data[k * n // most * HOP : k * n // most * HOP + HOP] for k in range(most)])
+
+
 class Network:
     def __init__(self, seed: int = 5):
         rng = np.random.default_rng(seed)
@@ -147,34 +156,38 @@ def remainder(n: int) -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, sample_bytes: int = 10 << 20) -> Network | None:
-    """Fit on about ``sample`` labelled documents, chosen by a hash of doc_id, of ``sample_bytes`` in all.
+def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, chunks: int = TRAINED) -> Network | None:
+    """Fit on at most ``sample`` labelled texts, the first by a hash, of ``chunks`` chunks each at most.
 
-    Long texts of the sample give a stretch of 16 KB, from its start; scoring never cuts.
+    Both bounds are parameters.  A longer text gives chunks from all of it; scoring reads
+    every text whole.
     """
-    known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").filter(remainder(4) != 2)
+    known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").filter(remainder(4) != 2).select("doc_id", "quality").distinct()
     n = known.count()
     if not n:
         return None
-    spread = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 40))
-    bound = int(min(1.0, sample / n) * (1 << 40)) + 1
-    chosen = known.select("doc_id", "quality", spread.alias("h")).filter(F.col("h") < bound).limit(2 * sample)
+    # A threshold on a hash, with room to spare, stands for the order, so only the sample is sorted.
+    by_hash = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 40))
+    bound = int(min(1.0, 1.3 * sample / n + 100 / n) * (1 << 40)) + 1
+    chosen = known.select("doc_id", "quality", by_hash.alias("h")).filter(F.col("h") < bound).orderBy("h", "doc_id", "quality").limit(2 * sample)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [spread(t or b"", chunks) for t in arrow_texts(b.column("text"))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("h", "doc_id", "quality")), pa.array(found, pa.binary())], names=["h", "doc_id", "quality", "data"])
+            release()
+
     rows = (
-        docs.select("doc_id", F.expr("substring(encode(text, 'UTF-8'), 1, 16384)").alias("data"))
+        docs.select("doc_id", "text")
         .join(F.broadcast(chosen), "doc_id")  # at most 2 * sample rows of three numbers
-        .orderBy("h", "doc_id")
-        .limit(2 * sample)
+        .select("h", F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), "text")
+        .mapInArrow(cut, "h long, doc_id long, quality int, data binary")
+        .distinct()
+        .orderBy("h", "doc_id", "quality", "data")
+        .limit(sample)
         .collect()
     )
-    texts, wanted, total = [], [], 0
-    for r in rows:
-        data = bytes(r.data or b"")
-        if total + len(data) > sample_bytes:
-            break
-        total += len(data)
-        texts.append(data)
-        wanted.append(r.quality)
-    return fit(texts, np.array(wanted, np.float32)) if texts else None
+    return fit([bytes(r.data) for r in rows], np.array([r.quality for r in rows], np.float32)) if rows else None
 
 
 def score(docs: DataFrame, net: Network | None) -> DataFrame:
@@ -194,6 +207,7 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
                 out[at:end] = net.scores(texts[at:end])
                 at = end
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out)], names=["doc_id", "score"])
+            release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, score double")
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import arrow_texts, durable, if_few, of_group
+from graphloom.llm.common import arrow_texts, durable, if_few, of_group, release
 
 SEED = 42
 RADIUS = 3
@@ -65,6 +65,7 @@ def fingerprints(docs: DataFrame, words_in_shingle: int = 3) -> DataFrame:
         for b in batches:
             found = [fingerprint(t or b"", words_in_shingle) for t in arrow_texts(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+            release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, fp long")
 

@@ -261,6 +261,35 @@ def test_language(spark):
     assert {r.lang_pred for r in language.identify(docs, None).collect()} == {"und"}
 
 
+def test_language_from_long_and_repeated_rows(spark):
+    """One language has only long texts, one row repeats 3000 times: all languages are learnt; held-out rows tell."""
+    en, fr, de = "the cat sat on the mat with this and that ", "le chat est dans la maison avec une autre ", "der hund und die katze sind in dem haus "
+    rows = [(i, de * 2500, "de") for i in range(12)] + [(5000, en, "en")] * 3000
+    rows += [(100 + i, (en, fr)[i % 2] * (1 + i % 5), ("en", "fr")[i % 2]) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs, sample=60)
+    assert model.languages == ["de", "en", "fr"]
+    held = docs.filter(language.remainder(3) == 1)
+    got = {r.doc_id: r.lang_pred for r in language.identify(held, model).collect()}
+    assert len(got) > 20 and all(got[r.doc_id] == r.lang for r in held.collect())
+    long_only = docs.filter("lang = 'de'")
+    assert {r.lang_pred for r in language.identify(long_only, language.train(long_only)).collect()} == {"de"}
+
+
+def test_quality_held_out(spark):
+    """Bad parts far inside long texts are learnt; repeated labels and rows and odd columns change nothing."""
+    rng = random.Random(5)
+    good = lambda n: " ".join(rng.choice(["quiet", "river", "stone", "light", "under"]) for _ in range(n))
+    bad = lambda n: " ".join(rng.choice(["###", "$$$", "!!", "x%%"]) for _ in range(n))
+    texts = [good(4000) + " " + (good(6000) if i % 2 else bad(6000)) for i in range(160)]
+    rows = [(i, t, "s", 0.5, 1) for i, t in enumerate(texts)] + [(1, texts[1], "s", 0.5, 1)] * 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality string, score double, h int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(160)] + [(1, 1)] * 500, "doc_id long, quality int")
+    held = docs.filter(quality.remainder(4) == 2)
+    got = {r.doc_id: r.score for r in quality.score(held, quality.train(docs, labels)).collect()}
+    assert len(got) > 20 and np.mean([(s >= quality.THRESHOLD) == (i % 2 == 1) for i, s in got.items()]) > 0.95
+
+
 def test_presence_matches_sets():
     text = b"ab\xc3\xa9Ab"
     low = "abéab".encode()
@@ -354,6 +383,16 @@ def test_mixing_stage(spark):
     assert out.count() == sum(times.values())
 
 
+def test_mixing_stage_keeps_other_columns(spark):
+    rows = [(1, "a b c", "en", "s"), (1, "a b c", "fr", "s"), (2, "d e", "en", "s"), (3, "x " * 40, "en", "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    times = {r.doc_id: 0 for r in docs.collect()}
+    for r in mixing.mix(docs).collect():
+        times[r.doc_id] += -(-r.taken // r.size)
+    out = [(r.doc_id, r.lang) for r in mixing.mixed(docs).collect()]
+    assert len(out) == sum(times.values()) and abs(out.count((1, "en")) - out.count((1, "fr"))) <= 1 and out.count((1, "en")) + out.count((1, "fr")) == times[1]
+
+
 def test_best_fit_enters_the_tightest_bin():
     rng = random.Random(6)
     sizes = sorted((rng.randint(1, 60) for _ in range(300)), reverse=True)
