@@ -9,10 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` as the session has it; only one without it, as in tests, gets a local folder."""
+    """``spark.checkpoint.dir`` as the session has it.
+
+    Without it a session in one process, as in tests, gets a local folder; one on a cluster
+    is refused, since its executors couldn't read the driver's.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not (sc.master or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="graphloom-"))
     return sc.getCheckpointDir().rstrip("/")
 
 
