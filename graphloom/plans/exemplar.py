@@ -59,6 +59,21 @@ DERIVED = {
         SELECT f.id, f.name, f.file_id, f.layer, f.complexity, COALESCE(c.callers, 0) AS callers, COALESCE(h.changes, 0) AS changes,
                CASE WHEN f.id % 6 = 0 THEN NULL ELSE CAST((f.id * 37) % 101 AS DOUBLE) / 100 END AS confidence, concat('area ', CASE f.id % 5 WHEN 0 THEN 'payment' WHEN 1 THEN 'user' WHEN 2 THEN 'dashboard' ELSE 'misc' END) AS area
         FROM {functions} f LEFT JOIN {callers} c ON f.id = c.id LEFT JOIN {churn} h ON f.id = h.id""",
+    # suppliers are classes and nations interfaces; the last line of an order is a method
+    "classes": "SELECT s_suppkey AS id, s_name AS name, concat('Brand#', CAST(s_suppkey % 25 + 1 AS STRING)) AS file_id FROM {supplier}",
+    "interfaces": "SELECT n_nationkey AS id, n_name AS name FROM {nation}",
+    "extends": "SELECT s_suppkey AS from_id, s_suppkey % 5 AS to_id FROM {supplier} WHERE s_suppkey >= 5",
+    "implements": "SELECT s_suppkey AS from_id, s_nationkey AS to_id FROM {supplier}",
+    "has_method": "SELECT DISTINCT l_suppkey AS from_id, l_partkey AS to_id FROM {lineitem} WHERE l_linenumber = 7",
+    "requests": """
+        SELECT id, name, concat(CASE id % 12 WHEN 0 THEN 'who calls ' WHEN 1 THEN 'what does ' WHEN 2 THEN 'callers of ' WHEN 3 THEN 'where is ' WHEN 4 THEN 'how does '
+               WHEN 5 THEN 'methods of ' WHEN 6 THEN 'classes that extend ' WHEN 7 THEN 'functions in ' WHEN 8 THEN 'similar to ' WHEN 9 THEN 'function '
+               WHEN 10 THEN 'what uses ' ELSE 'Find ' END, name, CASE id % 12 WHEN 1 THEN ' call?' WHEN 4 THEN ' work' ELSE '' END) AS request
+        FROM {functions}""",
+    "asked": """
+        SELECT id, concat(CASE id % 7 WHEN 0 THEN 'where is ' WHEN 1 THEN 'callers of ' WHEN 2 THEN 'How does ' WHEN 3 THEN 'class ' WHEN 4 THEN 'Where is ' ELSE '' END,
+               name, CASE id % 7 WHEN 0 THEN ' defined' WHEN 4 THEN ' used?' WHEN 5 THEN ' overview' ELSE '' END) AS query
+        FROM {functions}""",
     "hub": """
         SELECT from_id AS id FROM (SELECT from_id, count(*) AS n FROM {calls} GROUP BY from_id) x ORDER BY n DESC, from_id LIMIT 1""",
 }

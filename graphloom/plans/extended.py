@@ -18,7 +18,7 @@ from graphloom.operators import search as S
 from graphloom.operators import store
 from graphloom.operators import windows as W
 from graphloom.operators.builder import Query
-from graphloom.operators.language import understand
+from graphloom.operators.language import answer, understood
 from graphloom.plans.analytics import R6, r6
 from graphloom.plans.registry import Plans
 from graphloom.plans.traversals import VECTORS, first_vector
@@ -221,10 +221,11 @@ def memory_search(t):
     return S.knn(active, c("q"), 10, "cosine").select("id", r6(1 - c("distance")).alias("similarity"))
 
 
-@plan("v12_intents")
+@plan("v12_intents", """
+SELECT id, query, CASE id % 7 WHEN 0 THEN 'definition' WHEN 1 THEN 'usage' WHEN 2 THEN 'conceptual' WHEN 3 THEN 'definition' WHEN 4 THEN 'usage' WHEN 5 THEN 'conceptual' ELSE 'keyword' END AS intent
+FROM asked""")
 def intents(t):
-    texts = ["where is x defined", "who calls y", "how does z work", "parse config", "class Foo", "where is login"]
-    return t.spark.createDataFrame([(x, S.query_intent(x)) for x in texts], "query string, intent string")
+    return S.with_intents(t.asked)
 
 
 @plan("v13_expansion", f"""
@@ -237,11 +238,67 @@ def expansion(t):
     return best.select("id", r6(c("d")).alias("distance"))
 
 
-@plan("v15_understand")
+@plan("v15_understand", """
+SELECT id, request, name AS target, 0.9::DOUBLE AS confidence,
+       CASE id % 12 WHEN 0 THEN 'show_callers' WHEN 1 THEN 'show_callees' WHEN 2 THEN 'show_callers' WHEN 3 THEN 'find_location' WHEN 4 THEN 'explain' WHEN 5 THEN 'show_methods'
+            WHEN 6 THEN 'show_hierarchy' WHEN 7 THEN 'filter_scope' WHEN 8 THEN 'semantic_search' WHEN 9 THEN 'find_function' WHEN 10 THEN 'find_dependencies' ELSE 'find_location' END AS intent
+FROM requests""")
 def requests(t):
-    texts = ["what calls parse", "largest files", "functions in src/core", "most complex", "where is login", "methods of User"]
-    rows = [(x, u.intent, u.target, u.confidence) for x in texts for u in [understand(x)]]
-    return t.spark.createDataFrame(rows, "request string, intent string, target string, confidence double")
+    return understood(t.requests.select("id", "request"))
+
+
+PLACES = """SELECT 'function' AS kind, CAST(f.id AS VARCHAR) AS id, f.name, x.path FROM functions f JOIN files x ON f.file_id = x.id WHERE contains(lower(f.name), '{0}')
+UNION ALL SELECT 'file', id, path, path FROM files WHERE contains(lower(path), '{0}')
+UNION ALL SELECT 'class', CAST(k.id AS VARCHAR), k.name, x.path FROM classes k JOIN files x ON k.file_id = x.id WHERE contains(lower(k.name), '{0}')"""
+
+
+@plan("v16_location", PLACES.format("m1"))
+def location(t):
+    return answer("where is m1", t)
+
+
+@plan("v16_explain", PLACES.format("red bolt") + """
+UNION ALL SELECT DISTINCT 'callee', CAST(b.id AS VARCHAR), b.name, x.path FROM calls c JOIN functions a ON c.from_id = a.id JOIN functions b ON c.to_id = b.id JOIN files x ON b.file_id = x.id
+WHERE contains(lower(a.name), 'red bolt')""")
+def explain(t):
+    return answer("how does red bolt work", t)
+
+
+@plan("v16_hierarchy", """
+SELECT 'extends' AS kind, k.id, k.name, p.name AS parent FROM extends e JOIN classes p ON e.to_id = p.id JOIN classes k ON e.from_id = k.id WHERE contains(lower(p.name), '000000002')
+UNION ALL SELECT 'implements', k.id, k.name, p.name FROM implements e JOIN interfaces p ON e.to_id = p.id JOIN classes k ON e.from_id = k.id WHERE contains(lower(p.name), '000000002')""")
+def hierarchy(t):
+    return answer("classes that extend Supplier#000000002", t).filter("contains(lower(parent), '000000002')")
+
+
+@plan("v16_implementers", """
+SELECT 'implements' AS kind, k.id, k.name, p.name AS parent FROM implements e JOIN interfaces p ON e.to_id = p.id JOIN classes k ON e.from_id = k.id WHERE contains(lower(p.name), 'nation_1')""")
+def implementers(t):
+    return answer("what implements nation_1", t)
+
+
+@plan("v16_methods", """
+SELECT f.id, f.name, k.name AS class_name FROM has_method m JOIN classes k ON m.from_id = k.id JOIN functions f ON m.to_id = f.id WHERE contains(lower(k.name), '000003')""")
+def methods(t):
+    return answer("methods of 000003", t)
+
+
+@plan("v16_classes", """
+SELECT 'class' AS kind, CAST(id AS VARCHAR) AS id, name FROM classes WHERE contains(lower(name), '_1') UNION ALL SELECT 'interface', CAST(id AS VARCHAR), name FROM interfaces WHERE contains(lower(name), '_1')""")
+def classes(t):
+    return answer("interface _1", t)
+
+
+@plan("v16_scope", """
+SELECT 'function' AS kind, CAST(f.id AS VARCHAR) AS id, f.name, x.path FROM functions f JOIN files x ON f.file_id = x.id WHERE starts_with(x.path, 'src/core')
+UNION ALL SELECT 'class', CAST(k.id AS VARCHAR), k.name, x.path FROM classes k JOIN files x ON k.file_id = x.id WHERE starts_with(x.path, 'src/core')""")
+def scope(t):
+    return answer("functions in src/core", t)
+
+
+@plan("v16_dependencies", 'SELECT package, count(*) AS "references" FROM externals GROUP BY package ORDER BY "references" DESC, package LIMIT 20')
+def dependencies(t):
+    return answer("external dependencies", t)
 
 
 @plan("v18_relevant", """

@@ -68,7 +68,8 @@ def test_trivial(spark, name, lines, want):
 @pytest.mark.parametrize(
     "q, want",
     [("where is parseConfig defined", "definition"), ("class UserService", "definition"), ("who calls foo", "usage"), ("where is foo used", "usage"),
-     ("how does login work", "conceptual"), ("Where is the authentication logic?", "conceptual"), ("parseConfig", "keyword"), ("what now?", "conceptual")],
+     ("how does login work", "conceptual"), ("Where is the authentication logic?", "conceptual"), ("parseConfig", "keyword"), ("what now?", "conceptual"), ("go to definition", "definition"), ("references to parse", "usage"), ("class usage in app", "keyword"),
+     ("where is it", "conceptual"), ("design of the store", "conceptual"), ("", "keyword")],
 )
 def test_query_intent(q, want):
     assert S.query_intent(q) == want
@@ -80,6 +81,22 @@ def test_query_intent(q, want):
      ("most complex functions", "rank_complexity", None), ("largest files", "rank_size", None), ("where is login", "find_location", "login"),
      ("methods of User", "show_methods", "User"), ("interface Shape", "find_class", "Shape"), ("callers stuff", "show_callers", None), ("foo bar", "find_location", "foo bar"), ("", "unknown", None)],
 )
+def test_understand_said_plainly(q, intent, target):
+    test_understand(q, intent, target)
+
+
+@pytest.mark.parametrize(
+    "q, intent, target",
+    [("callers of createParser", "show_callers", "createParser"), ("what does index.ts import", "show_imports", "index.ts"), ("what imports UserService", "show_importers", "UserService"),
+     ("main calls what", "show_callees", "main"), ("classes that extend Error", "show_hierarchy", "Error"), ("what implements IParser", "show_hierarchy", "IParser"),
+     ("implementations of Store", "show_hierarchy", "Store"), ("UserService methods", "show_methods", "UserService"), ("how does authentication work", "explain", "authentication"),
+     ("explain the parser?", "explain", "the parser"), ("where is login implemented", "find_location", "login"), ("find @decorator function", "find_location", "@decorator function"),
+     ("complexity over 10", "rank_complexity", "10"), ("most called functions", "rank_calls", None), ("functions in src/core/parser/", "filter_scope", "src/core/parser/"),
+     ("external dependencies", "find_dependencies", None), ("what uses lodash", "find_dependencies", "lodash"), ("dependencies of app", "find_dependencies", "app"),
+     ("functions like parse", "semantic_search", "parse"), ("function createParser", "find_function", "createParser"), ("class UserService", "find_class", "UserService"),
+     ("file index", "find_file", "index"), ("imports analysis", "show_imports", None), ("extends BaseClass", "show_hierarchy", None), ("top used things", "rank_calls", None),
+     ("all interfaces", "find_class", None), ("authentication functions", "find_function", None)],
+)
 def test_understand(q, intent, target):
     got = understand(q)
     assert (got.intent, got.target) == (intent, target)
