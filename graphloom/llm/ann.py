@@ -4,8 +4,13 @@ Every vector is represented by the order in which a fixed set of pivots is near
 cut after ``prefix`` pivots.  The rows are spread over shards; in a shard each pivot has an
 inverted file that gives the pivot's place in the order of each row, one byte a row (the
 prefix length where the pivot isn't among the first).  A query reads the files of its own
-first pivots, adds up how far its places and the rows' are apart (Spearman's footrule) and
-reranks the part ``reranked`` of the shard with the least sums by the true measure.
+first ``read`` pivots, adds up how far its places and the rows' are apart (Spearman's
+footrule) and reranks the part ``reranked`` of the shard with the least sums by the true
+measure.  A shard reranks ten times the wanted number at least.
+
+Long orders and many reads are what vectors without clusters need: with short ones, or
+with rows posted under their first pivots only, recall falls under a half on such data.
+There an exact product of all pairs costs less than the index.
 
 Pivots are a bounded sample of the vectors, by a hash of them; every vector is indexed.
 Copies of a vector are one row of the index that lists its smallest ids, and equal queries
@@ -22,14 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import durable
-from graphloom.llm.vectors import answers, clean, from_raw, merge_copies, top
+from graphloom.llm.common import durable, of_groups
+from graphloom.llm.vectors import answers, clean, from_raw, merge_copies, query_keys, top
 
-PIVOTS = 256
-PREFIX = 128
+PIVOTS = 384
+PREFIX = 192
+READ = 96
 RERANKED = 0.08
-#: Rows of a shard that are reranked at least, or all that there are.
-LEAST = 1200
+#: Rows of a shard that are reranked at least, for each one that is wanted.
+LEAST = 10
 SHARD_ROWS = 16_384
 
 
@@ -57,20 +63,21 @@ def spread_pivots(sample: np.ndarray, pivots: int, alike: float = 0.7) -> np.nda
 
 
 def search_shard(
-    rows: np.ndarray, queries: np.ndarray, pivots: np.ndarray, prefix: int, reranked: float, least: int
+    rows: np.ndarray, queries: np.ndarray, pivots: np.ndarray, prefix: int, read: int, reranked: float, least: int
 ) -> list[np.ndarray]:
-    """For each query the rows whose orders are nearest to its own."""
+    """For each query the rows whose orders are nearest to its own.
+
+    With a place a of the query and b of the row, |a - b| is 2 max(a, b) - a - b.  The a are
+    the same for all rows, and a pivot that only the row has counts with its b, so the sums
+    of max(a, b) give the order.
+    """
     files, own = places(rows, pivots, prefix), places(queries, pivots, prefix)
     wanted = min(len(rows), max(least, int(np.ceil(reranked * len(rows)))))
     out = []
     for q in range(len(queries)):
         total = np.zeros(len(rows), np.uint16)
-        for p in np.flatnonzero(own[:, q] < prefix):
-            file, at = files[p], own[p, q]
-            total += np.maximum(file, at) - np.minimum(file, at)
-            # Pivots that only the row has count too; all rows have equally many, so what
-            # those shared with the query lack tells how far the others are.
-            total += file
+        for p in np.flatnonzero(own[:, q] < read):
+            total += np.maximum(files[p], own[p, q])
         out.append(np.argpartition(total, wanted - 1)[:wanted] if wanted < len(rows) else np.arange(len(rows)))
     return out
 
@@ -81,6 +88,7 @@ def nearest(
     k: int = 20,
     pivots: int = PIVOTS,
     prefix: int = PREFIX,
+    read: int = READ,
     reranked: float = RERANKED,
     shard_rows: int = SHARD_ROWS,
 ) -> DataFrame:
@@ -94,9 +102,7 @@ def nearest(
     marks = np.array([np.frombuffer(r.raw, np.float64) for r in sample if len(r.raw) == size])
     marks = spread_pivots(marks, pivots) if len(marks) else marks
     index = index.filter(F.octet_length("raw") == size)
-    ids = vectors.filter(is_query).select(
-        F.col("vec_id").alias("query_id"), raw_key(F.col("vector")).alias("key")
-    )
+    ids = query_keys(vectors.filter(is_query))
     shards = max(1, -(-n // shard_rows))
     rows = index.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
     asked = index.join(ids.select("key").distinct(), "key", "left_semi").select(
@@ -108,7 +114,7 @@ def nearest(
         lists = left.column("ids").to_pylist()
         out: list[tuple] = []
         if len(found) and len(queries):
-            near = search_shard(found, queries, marks, prefix, reranked, max(LEAST, k + 1))
+            near = search_shard(found, queries, marks, prefix, read, reranked, LEAST * (k + 1))
             for name, query, some in zip(names, queries, near, strict=True):
                 some = np.sort(some)
                 out += [(name, i, s) for s, i in top(found[some] @ query, [lists[r] for r in some.tolist()], k + 1)]
@@ -118,23 +124,10 @@ def nearest(
             [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "vec_id", "score"]
         )
 
-    found = rows.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(search, "key string, vec_id long, score double")
+    found = rows.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(of_groups(search), "key string, vec_id long, score double")
     return answers(found, ids, k, "double")
 
 
-def raw_key(vector: F.Column) -> F.Column:
-    """The key of a vector (MD5 of its little-endian doubles), computed where the row is."""
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("string")
-    def key(column):
-        import hashlib
-
-        return column.map(lambda v: hashlib.md5((np.asarray(v, np.float64) + 0.0).tobytes()).hexdigest())
-
-    return key(vector)
-
-
 def op5_ann(spark, sf_dir: str) -> DataFrame:
     from graphloom.llm.common import table
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,34 @@ def matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
 
 
+def _raws(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
+    """vec_id and the little-endian doubles of each row, -0 as 0."""
+    rows = batch.column("vector")
+    data, ends = memoryview((rows.flatten().to_numpy(zero_copy_only=False) + 0.0).tobytes()), np.cumsum(rows.value_lengths().to_numpy()) * 8
+    at = 0
+    for i, end in zip(batch.column("vec_id").to_pylist(), ends.tolist(), strict=True):
+        yield i, bytes(data[at:end])
+        at = end
+
+
+def query_keys(vectors: DataFrame) -> DataFrame:
+    """query_id and key, the MD5 of the vector's bytes, of each row."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(i, hashlib.md5(raw).hexdigest()) for i, raw in _raws(b)]
+            columns = list(zip(*found, strict=True)) or [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string())], names=["query_id", "key"])
+
+    return vectors.select("vec_id", "vector").mapInArrow(keys, "query_id long, key string")
+
+
+#: Bytes of distinct vectors that a task holds before it sends them.
+HELD_BYTES = 32 << 20
+
+
 def merge_copies(vectors: DataFrame, most: int) -> DataFrame:
-    """One row for each distinct vector: key, vector and ids, its ``most`` smallest vec_ids.
+    """One row for each distinct vector: raw (its bytes) and ids, its ``most`` smallest vec_ids.
 
     With ties going to smaller ids, no others can be among the first most - 1 of any
     query.  Each task merges the copies that it sees before the shuffle, so the commonest
@@ -41,23 +68,22 @@ def merge_copies(vectors: DataFrame, most: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             ids = [i for v in least.values() for i in v]
             keys = [k for k, v in least.items() for _ in v]
-            out = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], names=["vec_id", "raw"])
             least.clear()
-            return out
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], names=["vec_id", "raw"])
 
+        held = 0
         for b in batches:
-            rows = b.column("vector")
-            values, ends = rows.flatten().to_numpy(zero_copy_only=False) + 0.0, rows.value_lengths().to_numpy()  # -0 is 0
-            at = 0
-            for i, n in zip(b.column("vec_id").to_pylist(), ends.tolist(), strict=True):
-                ids = least.setdefault(values[at : at + n].tobytes(), [])
-                at += n
+            for i, raw in _raws(b):
+                if (ids := least.get(raw)) is None:
+                    ids = least[raw] = []
+                    held += len(raw)
                 if i not in ids:
                     ids.append(i)
                     if len(ids) > most:
                         ids.remove(max(ids))
-            if len(least) > 100_000:
-                yield flush()
+                if held > HELD_BYTES:
+                    yield flush()
+                    held = 0
         yield flush()
 
     first = Window.partitionBy("raw").orderBy("vec_id")
@@ -91,13 +117,15 @@ def top(
     return [(-s, i) for s, i in found[:k]]
 
 
-def answers(found: DataFrame, queries: DataFrame, k: int, score_type: str) -> DataFrame:
+def answers(found: DataFrame, queries: DataFrame, k: int, score_type: str, by: str = "score") -> DataFrame:
     """query_id, rank, vec_id, score from partial results (key, vec_id, score) of distinct query vectors.
 
+    ``by`` is a column that orders them as their exact scores do.
+
     ``queries`` has key and query_id.  A query's own row is no candidate, which is why
     partial results hold k + 1.
     """
-    best = Window.partitionBy("key").orderBy(F.col("score").desc(), "vec_id")
+    best = Window.partitionBy("key").orderBy(F.col(by).desc(), "vec_id")
     kept = found.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + 1)
     lists = kept.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("place", "vec_id", "score"))).alias("found"))
     others = F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
@@ -106,5 +134,3 @@ def answers(found: DataFrame, queries: DataFrame, k: int, score_type: str) -> Da
         .select("query_id", F.posexplode(others))
         .select("query_id", (F.col("pos") + 1).alias("rank"), "col.vec_id", F.col("col.score").cast(score_type).alias("score"))
     )
-
-

@@ -3,8 +3,10 @@
 import math
 
 import numpy as np
+import pytest
 
 from graphloom.llm import ann, vectors, voronoi
+from tests.conftest import DATA
 from tests.llm import helpers
 
 
@@ -26,6 +28,46 @@ def test_exact_scores(spark):
         assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got} == want
 
 
+def test_scores_past_a_long(spark):
+    """Components of 1e10 and 1e30 take part, rank by their exact scores and give the nearest long."""
+    rows = [[1e10, 1.0], [1e30, 0.5], [-1e30, 2.0], [1e10, -1.0], [3.0, 4.0], [0.0, 0.0], [2e30, 1.0], [1e10, 1.0]]
+    table = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    whole = [[int(math.floor(256 * x)) for x in r] for r in rows]
+    want = []
+    for q in (0, 4):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], w)), i) for i, w in enumerate(whole) if i != q)[:5]
+        want += [(q, k + 1, i, max(-(2**63), min(2**63 - 1, -s))) for k, (s, i) in enumerate(scores)]
+    got = voronoi.top_scores(table, "vec_id % 4 = 0 AND vec_id < 5").collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == want
+    numbers = [0, 1, -1, 9, 10, -9, -10, 10**40, -(10**40), 123, -123, 10**40 + 1]
+    assert sorted(numbers, key=voronoi.in_order) == sorted(numbers)
+
+
+def clustered(spark, n, size=16, clusters=40, seed=3):
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((clusters, size))
+    m = centres[rng.integers(0, clusters, n)] + 0.05 * rng.standard_normal((n, size))
+    m = (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
+    return m, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<float>")
+
+
+def test_rows_that_no_group_needs_stay(spark):
+    """50,000 clustered rows, 1000 queries: under half of what all groups could take is sent, and all is exact."""
+    m, table = clustered(spark, 50_000)
+    sent = spark.sparkContext.accumulator(0)
+    got = {}
+    for r in voronoi.top_scores(table, "vec_id % 50 = 0", sent=sent).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    groups = 1000 / voronoi.GROUP_QUERIES
+    assert sent.value < 0.5 * len(m) * groups
+    whole = np.floor(256 * m.astype(np.float64))
+    for q in range(0, 50_000, 950 * 50 // 25):
+        if q % 50 == 0:
+            scores = whole @ whole[q]
+            best = sorted((-s, i) for i, s in enumerate(scores.tolist()) if i != q)[:5]
+            assert [got[q][k] for k in range(1, 6)] == [(i, int(-s)) for s, i in best]
+
+
 def test_few_and_no_candidates(spark):
     table = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
     got = voronoi.top_scores(table, "vec_id = 0").collect()
@@ -60,6 +102,30 @@ def test_permutation_index(spark):
     assert np.mean(hits) >= 0.9
 
 
+@pytest.mark.parametrize("name", ["check_l", "check_h", "sf0.1"])
+def test_recall_at_shipped_settings(spark, name):
+    path = DATA / name / "embeddings.parquet"
+    if not path.exists():
+        pytest.skip("no test tables")
+    table = spark.read.parquet(str(path))
+    rows = {r.vec_id: r for r in usable(table.collect()) if r.vec_id is not None and any(r.embedding)}
+    ids = np.array(sorted(rows))
+    m = np.array([rows[i].embedding for i in ids], np.float64)
+    asked = ids[ids % 20 == 0][:: max(1, len(ids) // 20 // 100)].tolist()
+    got = {}
+    for r in ann.nearest(table, f"vec_id IN ({','.join(map(str, asked))})").collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert ann.RERANKED < 0.1 and ann.LEAST * 21 < 0.11 * len(ids)
+    hits = []
+    for q in asked:
+        scores = m @ m[np.searchsorted(ids, q)]
+        scores[np.searchsorted(ids, q)] = -np.inf
+        edge = np.sort(scores)[-20]
+        hits.append(np.mean([scores[np.searchsorted(ids, i)] >= edge - 1e-12 for i in got[q]]))
+    print(name, "recall", np.mean(hits), "worst", np.min(hits))
+    assert np.mean(hits) >= 0.9
+
+
 def test_copies_keep_their_smallest_ids(spark):
     table = helpers.vectors(spark)
     merged = vectors.merge_copies(vectors.clean(table), 6).collect()
