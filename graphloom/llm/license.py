@@ -8,7 +8,7 @@ the templates' terms are counted over all texts; a term of no template weighs as
 the rarest one of theirs that occurs.  So weights follow shares of the texts and not their
 number, and a header is found among a thousand texts as among millions.
 
-Only texts that can reach the threshold are looked at closely: a template's heaviest terms,
+Only texts that can reach the threshold are looked at closely: a template's rarest terms,
 taken until the others together can't reach it, are looked for first, which loses nothing
 (the prefix filter of similarity joins).  A window is counted out only if a bound from sums
 over it, which its exact cosine can't exceed, reaches the threshold.  What a text holds is
@@ -89,7 +89,7 @@ class Weights:
                 row[self.place[t.encode()]] = k * self.idf[t]
             row /= np.sqrt((row**2).sum())
             left = 1.0
-            for t in sorted(c, key=lambda t: (-row[self.place[t.encode()]], t)):
+            for t in sorted(c, key=lambda t: (frequency.get(t, 0), t)):
                 if left < threshold**2 * (1 - 1e-9):
                     break
                 self.lookup.add(t.encode())
@@ -264,7 +264,7 @@ df AS (
 mass AS (SELECT no, name, term, tf * idf AS m FROM template JOIN idf USING (term)),
 weight AS (SELECT no, name, term, m / sqrt(sum(m * m) OVER (PARTITION BY no)) AS w FROM mass),
 heavy AS (
-  SELECT no, term FROM (SELECT no, term, COALESCE(sum(w * w) OVER (PARTITION BY no ORDER BY w DESC, term ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM weight)
+  SELECT no, term FROM (SELECT no, term, COALESCE(sum(w * w) OVER (PARTITION BY no ORDER BY COALESCE(df, 0), term ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM weight JOIN idf USING (term))
   WHERE 1 - before >= {THRESHOLD * THRESHOLD * (1 - 1e-9)}
 ), seen AS (
   SELECT key, generate_subscripts(terms, 1) AS pos, unnest(terms) AS term, len(terms) AS n
