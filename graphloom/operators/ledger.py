@@ -242,3 +242,8 @@ def token_batches(rows: DataFrame, group: str, order: list[str], tokens: str, bu
         return step
 
     return ordered_fold(rows, group, [F.col(c) for c in order], [tokens], begin, "batch")
+
+
+def numbered(events: DataFrame, session: str = "session_id") -> DataFrame:
+    """Adds number, from 1 within each session in the order of time, then seq."""
+    return events.withColumn("number", F.row_number().over(Window.partitionBy(session).orderBy("at", "seq")))

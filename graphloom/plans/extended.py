@@ -35,8 +35,12 @@ c = F.col
 
 @plan("s07_append", "SELECT id, name FROM functions UNION ALL SELECT id + 500000, name FROM functions WHERE id < 10")
 def append(t):
+    """Rows appended to a table of the catalogue, and the table read again."""
+    catalog = Catalog(t.spark, f"{shared_folder(t.spark)}/append-{uuid.uuid4().hex}")
     f = t.functions.select("id", "name")
-    return f.unionByName(f.filter("id < 10").withColumn("id", c("id") + 500000))
+    catalog.replace("functions", f)
+    catalog.append("functions", f.filter("id < 10").withColumn("id", c("id") + 500000))
+    return catalog("functions")
 
 
 @plan("s03_batch_write", "SELECT 'functions' AS relation, count(*) AS n FROM functions UNION ALL SELECT 'files', count(*) FROM files")
@@ -192,9 +196,20 @@ def class_hierarchy(t):
     return G.chain(up, t.justifications.filter("id = 187").select("id"), 10)
 
 
-@plan("g13_bottom_up", "SELECT id FROM (SELECT id, length(CAST(id AS VARCHAR)) AS depth FROM justifications) x ORDER BY depth DESC, id LIMIT 40")
+@plan("g13_bottom_up", """
+WITH RECURSIVE up AS (SELECT id, parent_id, 0 AS depth FROM justifications UNION ALL SELECT u.id, j.parent_id, u.depth + 1 FROM up u JOIN justifications j ON j.id = u.parent_id AND u.depth < 30),
+d AS (SELECT id, max(depth) AS depth FROM up GROUP BY id)
+SELECT id, CAST(depth AS INT) AS depth, row_number() OVER (ORDER BY depth DESC, id) AS place FROM d""")
 def bottom_up(t):
-    return t.justifications.select("id", F.length(c("id").cast("string")).alias("depth")).orderBy(F.desc("depth"), "id").limit(40).select("id")
+    """Every node with its depth and its place from the leaves up."""
+    j = t.justifications.select("id", "parent_id")
+    deep = G.ancestors(j, j, 30).groupBy("id").agg(F.max("steps").alias("depth"))
+    levels = j.select("id").join(deep, "id", "left").select("id", F.coalesce("depth", F.lit(0)).alias("depth"))
+    # Places run on from the number of deeper nodes, so no window spans all rows.
+    sizes = levels.groupBy("depth").agg(F.count("*").alias("n"))
+    before = sizes.select("depth", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("depth")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("depth").orderBy("id"))
+    return levels.withColumn("at", inside).join(F.broadcast(before), "depth").select("id", "depth", (c("before") + c("at")).alias("place"))  # a row a level
 
 
 FLOWS = "fl AS (SELECT from_id AS caller, line_number % 2 AS parameter, to_id AS callee, (line_number + 1) % 2 AS argument FROM calls)"
@@ -323,9 +338,9 @@ def rule_triggers(t):
     return X.matching_rules(rules, t.documents.select(c("doc_id").alias("key"), "text"))
 
 
-@plan("f03_inner_product", f"WITH {VECTORS} SELECT id, {R6.format('list_inner_product(e, q)')} AS product FROM v, q WHERE id < 100")
+@plan("f03_inner_product", f"WITH {VECTORS} SELECT id, {R6.format('list_inner_product(e, q)')} AS product FROM v, q")
 def inner_product(t):
-    v = t.embeddings.filter("vec_id < 100").crossJoin(first_vector(t))
+    v = t.embeddings.crossJoin(first_vector(t))
     return v.select(c("vec_id").alias("id"), r6(N.dot(c("embedding"), c("q"))).alias("product"))
 
 
@@ -425,9 +440,9 @@ def heat_state(t):
     return t.ledger.select("session_id", "seq", "at").groupBy("session_id").applyInPandas(fold, "session_id long, heat double")
 
 
-@plan("t12_sequence", "SELECT session_id, max(seq) AS last, count(*) AS n, max(seq) - min(seq) AS span FROM ledger GROUP BY session_id")
+@plan("t12_sequence", 'SELECT seq, session_id, row_number() OVER (PARTITION BY session_id ORDER BY ledger."at", seq) AS number FROM ledger')
 def sequence(t):
-    return t.ledger.groupBy("session_id").agg(F.max("seq").alias("last"), F.count("*").alias("n"), (F.max("seq") - F.min("seq")).alias("span"))
+    return L.numbered(t.ledger).select("seq", "session_id", "number")
 
 
 @plan("x02_type_references", "SELECT DISTINCT id, kind AS type FROM functions")

@@ -98,13 +98,13 @@ def pull_request(t):
 
 @plan("r6_day0", """
 WITH h AS (SELECT count(*) FILTER (WHERE complexity <= 10) * 100 // count(*) AS simple, count(*) FILTER (WHERE changes >= 30 AND complexity >= 45) AS hot FROM entity_facts),
-g AS (SELECT count(*) AS gods FROM (SELECT file_id FROM functions GROUP BY file_id HAVING sum(complexity) > 25 AND count(*) > 85) x)
+g AS (SELECT count(*) AS gods FROM (SELECT file_id FROM functions GROUP BY file_id HAVING sum(complexity) > 25 AND count(*) > 8) x)
 SELECT CAST(least(100, floor(simple * 1.2 + 0.5)) AS BIGINT) AS simplicity, greatest(0, 100 - gods * 15) AS gods, greatest(0, 100 - hot * 20) AS stability FROM h, g""")
 def day0(t):
     h = facts(t).agg(
         F.floor(F.count_if(c("complexity") <= 10) * 100 / F.count("*")).alias("simple"), F.count_if((c("changes") >= 30) & (c("complexity") >= 45)).alias("hot")
     )
-    g = t.functions.groupBy("file_id").agg(F.sum("complexity").alias("s"), F.count("*").alias("n")).filter("s > 25 AND n > 85").agg(F.count("*").alias("g"))
+    g = t.functions.groupBy("file_id").agg(F.sum("complexity").alias("s"), F.count("*").alias("n")).filter("s > 25 AND n > 8").agg(F.count("*").alias("g"))
     return h.crossJoin(F.broadcast(g)).select(
         F.least(F.lit(100), N.half_up(c("simple") * 1.2)).cast("long").alias("simplicity"),
         F.greatest(F.lit(0), 100 - c("g") * 15).alias("gods"), F.greatest(F.lit(0), 100 - c("hot") * 20).alias("stability"),
@@ -112,11 +112,10 @@ def day0(t):
 
 
 @plan("r6_god_modules", """
-SELECT file_id, count(*) AS functions, CAST(sum(complexity) AS BIGINT) AS complexity, CASE WHEN sum(complexity) / 3000.0 / 30 * 30 / 30 + count(*) / 15.0 > 2 THEN 'CRITICAL' ELSE 'other' END AS severity FROM functions GROUP BY file_id HAVING sum(complexity) > 25 AND count(*) > 8""")
+SELECT file_id, count(*) AS functions, CAST(sum(complexity) AS BIGINT) AS complexity, CASE WHEN sum(complexity) / 30.0 + count(*) / 15.0 > 2 THEN 'CRITICAL' WHEN sum(complexity) / 30.0 + count(*) / 15.0 > 1.3 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM functions GROUP BY file_id HAVING sum(complexity) > 25 AND count(*) > 8""")
 def god_modules(t):
     g = t.functions.groupBy("file_id").agg(F.count("*").alias("functions"), F.sum("complexity").alias("complexity")).filter("complexity > 25 AND functions > 8")
-    severity = F.when(R.god_class(c("complexity") / 3000.0, c("functions")) == "CRITICAL", "CRITICAL").otherwise("other")
-    return g.withColumn("severity", severity)
+    return g.withColumn("severity", R.god_class(c("complexity"), c("functions")))
 
 
 @plan("r7_test_quality", """
@@ -132,7 +131,7 @@ def test_quality(t):
 
 @plan("r8_criticality", """
 SELECT id, least(100, greatest(0, 50 + CASE WHEN layer = 'domain' THEN 25 + CASE WHEN area LIKE '%payment%' THEN 20 WHEN area LIKE '%user%' THEN 10 ELSE 0 END WHEN layer = 'infrastructure' THEN -15 ELSE 0 END
-  + CASE WHEN confidence > 0.8 THEN 8 ELSE 0 END + CASE WHEN name LIKE '%gear%' AND FALSE THEN 12 ELSE 0 END + least(15, (callers % 4) * 5))) AS score FROM entity_facts""")
+  + CASE WHEN confidence > 0.8 THEN 8 ELSE 0 END + CASE WHEN name LIKE '%revenue%' OR name LIKE '%payment%' OR name LIKE '%critical%' OR name LIKE '%transaction%' THEN 12 ELSE 0 END + least(15, (callers % 4) * 5))) AS score FROM entity_facts""")
 def criticality(t):
     score = R.criticality(c("layer") == "domain", c("layer") == "infrastructure", c("area"), c("confidence"), c("name"), c("callers") % 4)
     return facts(t).select("id", score.alias("score"))

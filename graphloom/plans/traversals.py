@@ -95,11 +95,11 @@ def cycles(t):
 
 
 @plan("g11_ancestors", """
-WITH RECURSIVE up AS (SELECT id, parent_id AS ancestor, 1 AS steps FROM justifications WHERE id % 10 = 3 AND parent_id IS NOT NULL
+WITH RECURSIVE up AS (SELECT id, parent_id AS ancestor, 1 AS steps FROM justifications WHERE parent_id IS NOT NULL
   UNION ALL SELECT u.id, j.parent_id, u.steps + 1 FROM up u JOIN justifications j ON j.id = u.ancestor WHERE j.parent_id IS NOT NULL AND u.steps < 10)
 SELECT id, ancestor, steps FROM up""")
 def ancestors(t):
-    return G.ancestors(t.justifications, t.justifications.filter("id % 10 = 3"), 10)
+    return G.ancestors(t.justifications, t.justifications, 10)
 
 
 @plan("g12_children", "SELECT parent_id, count(*) AS children, array_to_string(list_sort(list(id)), ',') AS ids FROM justifications WHERE parent_id IS NOT NULL GROUP BY parent_id")
@@ -185,18 +185,18 @@ def similar(t):
     return S.similar_entities(v, F.col("q"), 20, [0], 0.1, [0, 1, 2, 3, 4, 5]).select("id", r6(F.col("similarity")).alias("similarity"))
 
 
-@plan("v05_cosine", f"WITH {VECTORS} SELECT id, {R6.format('list_cosine_similarity(e, q)')} AS similarity FROM v, q WHERE id < 50")
+@plan("v05_cosine", f"WITH {VECTORS} SELECT id, {R6.format('list_cosine_similarity(e, q)')} AS similarity FROM v, q")
 def cosine(t):
-    v = t.embeddings.filter("vec_id < 50").crossJoin(first_vector(t))
+    v = t.embeddings.crossJoin(first_vector(t))
     return v.select(F.col("vec_id").alias("id"), r6(N.cosine(F.col("embedding"), F.col("q"))).alias("similarity"))
 
 
 @plan("v06_pairs", f"""
-WITH {VECTORS}, s AS (SELECT * FROM v ORDER BY id LIMIT 200)
+WITH {VECTORS}, s AS (SELECT * FROM v)
 SELECT a.id AS a, b.id AS b, {R6.format('list_cosine_similarity(a.e, b.e)')} AS similarity FROM s a JOIN s b ON a.id < b.id WHERE list_cosine_similarity(a.e, b.e) >= 0.3""")
 def pairs(t):
     v = t.embeddings.select(F.col("vec_id").alias("id"), "embedding")
-    return S.cosine_pairs(v, 0.3, 200).withColumn("similarity", r6(F.col("similarity")))
+    return S.all_cosine_pairs(v, 0.3).withColumn("similarity", r6(F.col("similarity")))
 
 
 @plan("v06_clusters")
@@ -258,20 +258,20 @@ def relevance(t):
     return f.select("id", r6(score).alias("score"))
 
 
-@plan("v20_similarity", f"WITH {VECTORS} SELECT id, {R6.format('1 / (1 + list_distance(e, q))')} AS similarity FROM v, q WHERE id < 50")
+@plan("v20_similarity", f"WITH {VECTORS} SELECT id, {R6.format('1 / (1 + list_distance(e, q))')} AS similarity FROM v, q")
 def similarity(t):
-    v = t.embeddings.filter("vec_id < 50").crossJoin(first_vector(t))
+    v = t.embeddings.crossJoin(first_vector(t))
     return v.select(F.col("vec_id").alias("id"), r6(1 / (1 + N.l2(F.col("embedding"), F.col("q")))).alias("similarity"))
 
 
 @plan("v21_mrr", f"""
-WITH e AS (SELECT seq AS query, CASE WHEN seq % 10 = 0 THEN [] ELSE files END AS paths FROM ledger WHERE seq < 200),
+WITH e AS (SELECT seq AS query, CASE WHEN seq % 10 = 0 THEN [] ELSE files END AS paths FROM ledger),
 r AS (SELECT e.query, k.rank, concat('src/f', CAST((e.query + k.rank * 3) % 53 AS VARCHAR)) AS path FROM e, (SELECT unnest(range(0, 8)) AS rank) k),
 h AS (SELECT e.query, min(r.rank + 1) AS first FROM e JOIN r ON r.query = e.query WHERE len(list_filter(e.paths, lambda p: contains(p, r.path) OR contains(r.path, p))) > 0 GROUP BY e.query)
 SELECT e.query, {R6.format('CASE WHEN len(e.paths) = 0 THEN 1.0 ELSE COALESCE(1.0 / h.first, 0) END')} AS reciprocal_rank FROM e LEFT JOIN h ON h.query = e.query""")
 def mrr(t):
     empty = F.array().cast("array<string>")
-    e = t.ledger.filter("seq < 200").select(F.col("seq").alias("query"), F.when(F.col("seq") % 10 == 0, empty).otherwise(F.col("files")).alias("paths"))
+    e = t.ledger.select(F.col("seq").alias("query"), F.when(F.col("seq") % 10 == 0, empty).otherwise(F.col("files")).alias("paths"))
     r = e.select("query", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")).select(
         "query", (F.col("k") + 1).alias("rank"), F.concat(F.lit("src/f"), ((F.col("query") + F.col("k") * 3) % 53).cast("string")).alias("path")
     )

@@ -33,6 +33,13 @@ def test_catalog(spark, tmp_path):
     assert {(r.id, r.v) for r in c("t").collect()} == {(1, "a"), (2, "c"), (3, "d"), (4, "e")} and c.names() == ["t"]
     c.forget("t", 1)
     assert c("t").count() == 4
+    c.upsert("t", row((99, "z")), ["id"])  # numbered on, not by how many are left
+    c.append("t", row((100, "y")))
+    assert {r.id for r in c("t").collect()} == {1, 2, 3, 4, 99, 100}
+    c.forget("t", 1)
+    assert {r.id for r in c("t").collect()} == {1, 2, 3, 4, 99, 100}
+    with pytest.raises(ValueError):
+        c.append("t", row((1, "a")).withColumnRenamed("v", "w"))
 
 
 def test_raw_query(spark):
