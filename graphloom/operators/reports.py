@@ -44,6 +44,7 @@ def friction(complexity: Column, churn: Column, weight: Column) -> Column:
     return complexity * F.greatest(F.lit(1.0), churn) * weight
 
 
+# The steps and points of the score below.
 def effort(complexity: Column, callers: Column) -> Column:
     """Story points."""
     base = F.when(complexity > 30, 5).when(complexity > 20, 3).when(complexity > 10, 2).otherwise(1)
@@ -59,21 +60,25 @@ def return_on_effort(points: Column, hours: Column, months: int = 6) -> Column:
     return F.when(points == 0, F.lit(0.0)).otherwise(half_up_to(hours * months / (points * 4), 1))
 
 
+# The steps and points of the score below.
 def debt_score(complexity: Column, churn: Column, weight: Column, callers: Column) -> Column:
     part = lambda x, most: F.least(x / F.lit(float(most)), F.lit(1.0))
     return half_up(part(complexity, 30) * 40 + part(churn, 10) * 30 + part(callers, 20) * weight * 30)
 
 
+# The steps and points of the score below.
 def god_class(complexity: Column, methods: Column) -> Column:
     score = complexity / 30.0 + methods / 15.0
     return F.when(score > 2, "CRITICAL").when(score > 1.3, "HIGH").otherwise("MEDIUM")
 
 
+# The steps and points of the score below.
 def change_frequency(changes: Column, days: int = 30) -> Column:
     weekly = changes * 7.0 / days
     return tiers(weekly, [(7, "Daily or more"), (3, "Several times per week"), (1, "Weekly"), (0.5, "Bi-weekly")], "Monthly or less")
 
 
+# The steps and points of the score below.
 def test_quality(strong: Column, mocks: Column, match: Column, errors: Column, snapshot_only: Column) -> Column:
     """100 less what weak assertions, mocks, a mismatch, missing error cases and bare snapshots cost."""
     lost = (
@@ -90,6 +95,7 @@ def test_verdict(score: Column) -> Column:
     return tiers(score, [(70, "VALID"), (40, "SUSPICIOUS")], "COVERAGE_PADDING")
 
 
+# The steps and points of the score below.
 def criticality(domain: Column, infrastructure: Column, area: Column, confidence: Column, purpose: Column, incidents: Column) -> Column:
     """Business criticality, 0 to 100."""
     low, why = F.lower(area), F.lower(F.coalesce(purpose, F.lit("")))
@@ -104,6 +110,7 @@ def criticality(domain: Column, infrastructure: Column, area: Column, confidence
     return F.least(F.lit(100), F.greatest(F.lit(0), score))
 
 
+# The steps and points of the score below.
 def layer(domain: Column, infrastructure: Column, area: Column) -> Column:
     low = F.lower(area)
     return (
@@ -137,6 +144,7 @@ def likely_tested(name: Column, path: Column, complexity: Column, callers: Colum
     )
 
 
+# The steps and points of the score below.
 def pull_request_factors(domain_share: Column, callers: Column, incidents: Column, author_changes: Column, complexity: Column) -> Column:
     """30 and the five contributions."""
     return (

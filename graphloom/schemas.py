@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
+#: Names and types of the tables and edges.
 NODES = {
     "file": "id string, path string, relative_path string, extension string, hash string, size long, last_modified long, language string, framework string",
     "function": "id string, name string, file_id string, start_line int, end_line int, start_column int, end_column int, signature string, return_type string, is_exported boolean, is_async boolean, is_generator boolean, complexity int, parameter_count int, doc_comment string, business_logic string, inference_confidence double",
