@@ -16,6 +16,16 @@ def camel(name: str) -> str:
     return re.sub(r"_([a-z])", lambda m: m[1].upper(), name)
 
 
+def snake_case(name: Column) -> Column:
+    return F.lower(F.regexp_replace(name, "(?<!^)([A-Z])", "_$1"))
+
+
+def camel_case(name: Column) -> Column:
+    parts = F.split(name, "_(?=[a-z])")
+    raised = F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.upper(p.substr(1, 1)), F.regexp_replace(p, "(?s)^.", ""))))
+    return F.array_join(raised, "")
+
+
 def entity_id(*parts: Column) -> Column:
     """The first 16 hex digits of the SHA-256 of the parts that aren't empty, joined by colons."""
     return F.substring(F.sha2(F.concat_ws(":", *[F.nullif(p.cast("string"), F.lit("")) for p in parts]), 256), 1, 16)

@@ -217,6 +217,24 @@ def topological_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
+def placed(levels: DataFrame, level: str, descending: bool = False) -> DataFrame:
+    """Adds place: 1, 2, ... by level, then id.
+
+    Places run on from the number of rows of the levels before, so no window spans all rows.
+    """
+    sizes = levels.groupBy(level).agg(F.count("*").alias("_n"))
+    order = F.desc(level) if descending else F.asc(level)
+    up_to = F.sum("_n").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    before = sizes.select(level, F.coalesce(up_to, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(level).orderBy("id"))
+    return levels.withColumn("_at", inside).join(before, level).withColumn("place", F.col("_before") + F.col("_at")).drop("_at", "_before")
+
+
+def dependency_order(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id, level, on_cycle and place: what a node points to comes before it; cycles share a level."""
+    return placed(topological_levels(reverse(edges), nodes), "level")
+
+
 def propagate(edges: DataFrame, sources: DataFrame, flag: Column | None = None, most: int | None = None) -> DataFrame:
     """The sinks (no edge out) that flagged edges lead to from each source: source, id, depth."""
     at = sources.select(F.col("id").alias("source"), "id").distinct()
@@ -306,7 +324,7 @@ def roll_up(nodes: DataFrame) -> DataFrame:
         F.count("*").alias("children"),
         F.avg("confidence").alias("_avg"),
         F.array_sort(F.collect_set(F.nullif("feature", F.lit("")))).alias("_features"),
-        F.array_distinct(F.flatten(F.collect_list("tags"))).alias("_tags"),
+        F.array_distinct(F.flatten(F.collect_set("tags"))).alias("_tags"),
     )
     return nodes.join(child, nodes.id == child["_p"]).select(
         "id",

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from graphloom.functions.numeric import steps
+from graphloom.operators.search import greedy_clusters
+from graphloom.sources.tables import Catalog
 
 
 def event_filter(types=None, sources=None, entities=None, files=None) -> Column:
@@ -115,8 +117,8 @@ def compact(events: DataFrame, group: list[str], least: int = 3) -> DataFrame:
         F.min("at").alias("first_at"),
         F.max("at").alias("last_at"),
         F.array_sort(F.collect_set("event_type")).alias("types"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("files")))).alias("all_files"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("entity_ids")))).alias("entities"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("files")))).alias("all_files"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("entity_ids")))).alias("entities"),
         F.bool_or(F.col("event_type") == "error").alias("errors"),
         F.bool_or(F.col("source") == "query").alias("queries"),
         F.bool_or(F.col("source") == "change").alias("changes"),
@@ -247,3 +249,31 @@ def token_batches(rows: DataFrame, group: str, order: list[str], tokens: str, bu
 def numbered(events: DataFrame, session: str = "session_id") -> DataFrame:
     """Adds number, from 1 within each session in the order of time, then seq."""
     return events.withColumn("number", F.row_number().over(Window.partitionBy(session).orderBy("at", "seq")))
+
+
+def merge_similar(clusters: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """Clusters (id, intent, confidence, events) merged into the first one by id that they are similar enough to.
+
+    ``pairs`` has a, b and similarity.  One row each: id and intent of the first, members,
+    events, largest confidence.
+    """
+    near = greedy_clusters(pairs.filter(F.col("similarity") >= threshold), clusters.select("id"), smallest=1)
+    rows = near.select("cluster", "id").join(clusters, "id")
+    return rows.groupBy(F.col("cluster").alias("id")).agg(
+        F.max(F.when(F.col("id") == F.col("cluster"), F.col("intent"))).alias("intent"),
+        F.count("*").alias("members"),
+        F.sum("events").alias("events"),
+        F.max("confidence").alias("confidence"),
+    )
+
+
+def maintain(catalog: Catalog, ledger: str, compacted: str, cutoff: float, least: int = 3) -> None:
+    """One run of retention: sessions that ended before the cutoff are compacted, then their events go.
+
+    For a scheduler.  The compacted rows have keys of their own, so a run that ended between
+    the two writes can be repeated.  Sessions still open keep all their events.
+    """
+    rows = catalog(ledger)
+    old = rows.groupBy("session_id").agg(F.max("at").alias("_last")).filter(F.col("_last") < cutoff).select("session_id")
+    catalog.upsert(compacted, compact(rows.join(old, "session_id", "left_semi"), ["session_id"], least), ["entry_id"])
+    catalog.replace(ledger, rows.join(old, "session_id", "left_anti").select(*rows.columns))

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.plans import analytics, composites, extended, lookups, scoring, traversals
+from graphloom.plans import analytics, code, composites, extended, lookups, scoring, traversals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for _part in (lookups, analytics, traversals, scoring, extended, composites):
+for _part in (lookups, analytics, traversals, scoring, extended, composites, code):
     QUERIES |= _part.PLANS.queries
     SQL |= _part.PLANS.sql
 

@@ -205,11 +205,7 @@ def bottom_up(t):
     j = t.justifications.select("id", "parent_id")
     deep = G.ancestors(j, j, 30).groupBy("id").agg(F.max("steps").alias("depth"))
     levels = j.select("id").join(deep, "id", "left").select("id", F.coalesce("depth", F.lit(0)).alias("depth"))
-    # Places run on from the number of deeper nodes, so no window spans all rows.
-    sizes = levels.groupBy("depth").agg(F.count("*").alias("n"))
-    before = sizes.select("depth", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("depth")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("depth").orderBy("id"))
-    return levels.withColumn("at", inside).join(F.broadcast(before), "depth").select("id", "depth", (c("before") + c("at")).alias("place"))  # a row a level
+    return G.placed(levels, "depth", descending=True)
 
 
 FLOWS = "fl AS (SELECT from_id AS caller, line_number % 2 AS parameter, to_id AS callee, (line_number + 1) % 2 AS argument FROM calls)"
