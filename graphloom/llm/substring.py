@@ -28,6 +28,7 @@ removed: each gives one row.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,6 +96,27 @@ def _words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*hashes, none]), np.concatenate([*places, none.astype(np.int64)])
 
 
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _kept(text: bytes, gone: np.ndarray) -> bytes:
+    """The words that stay, joined by one space; a part of the text at a time is held as words."""
+    kept, at, word = [], 0, 0
+    while at < len(text):
+        cut = _SPACE.search(text, at + SEGMENT)
+        end = cut.end() if cut else len(text)
+        words = text[at:end].split()  # at the same bytes as _words
+        flags = gone[word : word + len(words)]
+        if flags.any():
+            part = b" ".join([w for w, g in zip(words, flags.tolist(), strict=True) if not g])
+        else:
+            part = b" ".join(words)
+        if part:
+            kept.append(part)
+        at, word = end, word + len(words)
+    return b" ".join(kept)
+
+
 def _rolled(w: np.ndarray, length: int, base: np.uint64) -> np.ndarray:
     """Polynomial hashes of all runs of ``length`` words, built by doubling."""
     out, have, done = None, w, 0
@@ -321,11 +343,8 @@ def remove_repeats(docs: DataFrame, whole: bool = True) -> DataFrame:
         out: list[list] = [[], [], [], [], []]
         for i, (doc_id, text) in enumerate(zip(block.ids, block.texts, strict=True)):
             mine = gone[block.starts[i] : block.starts[i + 1]]
-            words = text.split()  # at the same bytes as above
             lost = int(np.count_nonzero(mine))
-            if lost:
-                words = [w for w, g in zip(words, mine.tolist(), strict=True) if not g]
-            kept = b" ".join(words)
+            kept = _kept(text, mine)
             row = (doc_id, len(mine), lost, hashlib.sha256(kept).hexdigest(), (kept if lost else text).decode())
             for column, value in zip(out, row, strict=True):
                 column.append(value)

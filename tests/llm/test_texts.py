@@ -435,3 +435,17 @@ def test_sharding(spark):
     for s in {r.shard for r in got}:
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
     assert sharding.shard(empty(spark), 5).collect() == []
+
+
+def test_substring_long_text_in_parts(spark):
+    """A text of several parts, with a word longer than a part, loses the same words as by one split."""
+    import numpy as np
+
+    from graphloom.llm import substring
+
+    rng = np.random.default_rng(3)
+    text = b" \n".join([b"w%d" % i for i in range(120_000)] + [b"x" * (2 * substring.SEGMENT)] + [b"v%d" % i for i in range(1000)]) + b"\t"
+    words = text.split()
+    for gone in (np.zeros(len(words), bool), np.ones(len(words), bool), rng.random(len(words)) < 0.3):
+        assert substring._kept(text, gone) == b" ".join(w for w, g in zip(words, gone, strict=True) if not g)
+    assert substring._kept(b"", np.zeros(0, bool)) == b"" and substring._kept(b" \n ", np.zeros(0, bool)) == b""
