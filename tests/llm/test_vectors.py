@@ -135,3 +135,28 @@ def test_copies_keep_their_smallest_ids(spark):
 
 def test_top_breaks_ties_by_id():
     assert vectors.top(np.array([1.0, 2.0, 2.0, 2.0]), [[9], [8, 3], [4], [5]], 3) == [(2.0, 3), (2.0, 4), (2.0, 5)]
+
+
+def test_index_memory_does_not_follow_queries():
+    """A task with 2000 rows answers 20,000 queries within a few MB: what it holds for each is its k best."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    rows = rng.standard_normal((2000, 16))
+    shards = ann.Shards(rows[:64], 48, 24, 0.1, 210)
+    shards.add(0, rows[:1200], [[i] for i in range(1200)])
+    shards.add(0, rows[1200:1500], [[i] for i in range(1200, 1500)])
+    shards.add(1, rows[1500:], [[i] for i in range(1500, 2000)])
+    found = list(shards.search(rows[:50], 6))
+    hits = 0
+    for q in range(50):
+        scores = rows @ rows[q]
+        assert found[q] == sorted(found[q], key=lambda x: (-x[0], x[1])) and all(abs(scores[i] - s) < 1e-9 for s, i in found[q])
+        hits += len({i for _, i in found[q]} & set(np.argsort(-scores)[:6].tolist()))
+    assert hits > 0.9 * 300
+    tracemalloc.start()
+    asked = rng.standard_normal((20_000, 16))
+    for s in range(0, len(asked), ann.QUERIES):
+        assert all(len(x) == 6 for x in shards.search(asked[s : s + ann.QUERIES], 6))
+    assert tracemalloc.get_traced_memory()[1] - asked.nbytes < 8 << 20
+    tracemalloc.stop()
