@@ -63,28 +63,26 @@ def resolve_calls(unresolved: DataFrame, functions: DataFrame, imports: DataFram
     file; else none for built-ins; else a function of the same file.  Several candidates
     of one way: the smallest id.  Columns: caller_id, file_id, callee, line_number.
     """
-    f = functions.select(F.col("id").alias("fid"), F.col("name").alias("fname"), F.col("file_id").alias("ffile"), "is_exported")
+    here, name = F.col("file_id"), F.col("callee")
+    best = functions.groupBy(F.col("file_id").alias("ffile"), F.col("name").alias("callee")).agg(
+        F.min("id").alias("any"), F.min(F.when(F.col("is_exported"), F.col("id"))).alias("open")
+    )
+    # a row of each name that a file calls, however many sites and functions there are of it
+    wanted = unresolved.select("file_id", "callee").distinct()
     seen = imports.select(F.col("from_id").alias("file_id"), F.col("to_id").alias("ffile"), "imported_symbols")
-    sites = unresolved.withColumn("site", F.struct("caller_id", "file_id", "callee", "line_number"))
     imported = (
-        sites.join(seen, "file_id")
-        .join(f, "ffile")
-        .filter("fname = callee")
-        .groupBy("site")
-        .agg(
-            F.min(F.when(F.col("is_exported") & F.array_contains("imported_symbols", F.col("callee")), F.col("fid"))).alias("exported"),
-            F.min("fid").alias("imported"),
-        )
+        wanted.join(seen, "file_id").join(best, ["ffile", "callee"]).groupBy("file_id", "callee")
+        .agg(F.min(F.when(F.array_contains("imported_symbols", name), F.col("open"))).alias("exported"), F.min("any").alias("imported"))
     )
-    local = (
-        sites.join(f.withColumnRenamed("ffile", "file_id"), "file_id").filter("fname = callee")
-        .groupBy("site").agg(F.min("fid").alias("local"))
+    local = wanted.join(best.select(F.col("ffile").alias("file_id"), "callee", F.col("any").alias("local")), ["file_id", "callee"])
+    own = F.when(~name.isin(builtins), F.col("local"))
+    found = (
+        imported.join(local, ["file_id", "callee"], "full_outer")
+        .select("file_id", "callee", F.coalesce("exported", "imported", own).alias("to_id"))
+        .filter("to_id IS NOT NULL")
     )
-    found = sites.join(imported, "site", "left").join(local, "site", "left")
-    own = F.when(~F.col("callee").isin(builtins), F.col("local"))
     return (
-        found.withColumn("to_id", F.coalesce("exported", "imported", own))
-        .filter("to_id IS NOT NULL")
+        unresolved.select("caller_id", here, name, "line_number").join(found, ["file_id", "callee"])
         .groupBy(F.col("caller_id").alias("from_id"), "to_id")
         .agg(F.max("line_number").alias("line_number"))
     )
