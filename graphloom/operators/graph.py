@@ -11,6 +11,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -235,15 +238,84 @@ def dependency_order(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return placed(topological_levels(reverse(edges), nodes), "level")
 
 
+#: Edges that a task may hold: 4 bytes each, and their ends' ids.
+HELD_EDGES = 4_000_000
+#: Sources of a task, rows of a batch.
+TASK_SOURCES = 64
+BATCH_ROWS = 50_000
+
+
+def _held(edges: DataFrame) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Vertices, where each one's targets begin, the targets, and which vertices have an edge out."""
+    table = edges.toArrow()  # counted before
+    start, end = (table.column(c).combine_chunks() for c in ("from_id", "to_id"))
+    vertices = pa.concat_arrays([start, end.cast(start.type)]).unique().drop_null()
+    f, t = (pc.index_in(x, vertices).fill_null(-1).to_numpy() for x in (start, end.cast(start.type)))
+    out = np.zeros(len(vertices), bool)
+    out[f[f >= 0]] = True
+    whole = (f >= 0) & (t >= 0)
+    f, t = f[whole], t[whole]
+    return vertices, np.concatenate([[0], np.cumsum(np.bincount(f, minlength=len(vertices)))]), t[np.argsort(f, kind="stable")], out
+
+
+def _walk(at: int, begins: np.ndarray, targets: np.ndarray, seen: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Vertices that a walk from one reaches, itself first, and their depths; ``seen`` is left as it was."""
+    levels = [np.array([at])]
+    seen[at] = True
+    while len(levels[-1]) and (most is None or len(levels) <= most):
+        first, many = begins[levels[-1]], begins[levels[-1] + 1] - begins[levels[-1]]
+        hop = targets[np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())]
+        levels.append(np.unique(hop[~seen[hop]]))
+        seen[levels[-1]] = True
+    found = np.concatenate(levels)
+    seen[found] = False
+    return found, np.repeat(np.arange(len(levels), dtype=np.int32), [len(x) for x in levels])
+
+
+def _propagate_held(step: DataFrame, sources: DataFrame, most: int | None) -> DataFrame:
+    """The same with the edges in every task: each source's walk is its own."""
+    graph = step.sparkSession.sparkContext.broadcast(_held(step))
+    starts = durable(sources.select(F.col("id").alias("source")).distinct())
+    kind = starts.schema["source"].dataType.simpleString()
+
+    def walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vertices, begins, targets, out = graph.value
+        seen = np.zeros(len(vertices), bool)
+        for b in batches:
+            column = b.column("source")
+            rows, held = [], 0
+            for i, at in enumerate(pc.index_in(column.cast(vertices.type), vertices).to_pylist()):
+                if at is None:  # a source without edges is its own sink
+                    names, depths = column.slice(i, 1), np.zeros(1, np.int32)
+                else:
+                    found, depths = _walk(at, begins, targets, seen, most)
+                    found, depths = found[~out[found]], depths[~out[found]]
+                    names = vertices.take(pa.array(found)).cast(column.type)
+                rows.append((column.take(pa.array(np.full(len(names), i))), names, pa.array(depths)))
+                held += len(names)
+                if held >= BATCH_ROWS or i == len(column) - 1:
+                    yield pa.RecordBatch.from_arrays([pa.concat_arrays(list(c)) for c in zip(*rows, strict=True)], names=["source", "id", "depth"])
+                    rows, held = [], 0
+
+    tasks = max(1, -(-starts.count() // TASK_SOURCES))
+    return starts.repartition(min(tasks, 1000), "source").mapInArrow(walks, f"source {kind}, id {kind}, depth int")
+
+
 def propagate(edges: DataFrame, sources: DataFrame, flag: Column | None = None, most: int | None = None) -> DataFrame:
-    """The sinks (no edge out) that flagged edges lead to from each source: source, id, depth."""
-    at = sources.select(F.col("id").alias("source"), "id").distinct()
-    seen, depth = durable(at.withColumn("depth", F.lit(0))), 0
-    frontier = at
+    """The sinks (no edge out) that flagged edges lead to from each source: source, id, depth.
+
+    Edges that a task can hold, as counted, go to every task, and the sources are dealt out;
+    more of them are walked along by rounds.
+    """
     with resident(edges if flag is None else edges.filter(flag)) as step:
+        if step.count() <= HELD_EDGES:
+            return _propagate_held(step, sources, most)
+        at = sources.select(F.col("id").alias("source"), "id").distinct()
+        seen, depth = durable(at.withColumn("depth", F.lit(0))), 0
+        frontier = at
         while most is None or depth < most:
             depth += 1
-            hop = frontier.join(step, F.col("id") == F.col("from_id")).select("source", F.col("to_id").alias("id")).distinct()
+            hop = frontier.join(step.filter("to_id IS NOT NULL"), F.col("id") == F.col("from_id")).select("source", F.col("to_id").alias("id")).distinct()
             hop = durable(hop.join(seen.select("source", "id"), ["source", "id"], "left_anti").withColumn("depth", F.lit(depth)))
             if hop.isEmpty():
                 break

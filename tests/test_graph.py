@@ -90,6 +90,22 @@ def test_taint_ends_at_sinks(spark):
     assert got == {(0, 2)}
 
 
+def test_taint_held_or_by_rounds(spark, monkeypatch):
+    """The same walks either way, with cycles, a source without edges and a limit; held, without a round for each step."""
+    e = edges(spark, [(i, i + 1) for i in range(60)] + [(60, 5), (30, 100), (7, 101), (101, 7), (101, 102)])
+    start = ids(spark, [0, 31, 101, 500])
+    rows = lambda most: {tuple(r) for r in G.propagate(e, start, most=most).select("source", "id", "depth").collect()}
+    rounds = []
+    real = G.durable
+    monkeypatch.setattr(G, "durable", lambda df: rounds.append(1) or real(df))
+    held = rows(None), rows(9)
+    assert held[0] == {(0, 100, 31), (0, 102, 9), (31, 100, 56), (31, 102, 34), (101, 102, 1), (101, 100, 25), (500, 500, 0)}
+    assert held[1] == {(0, 102, 9), (101, 102, 1), (500, 500, 0)}
+    assert len(rounds) == 2
+    monkeypatch.setattr(G, "HELD_EDGES", 3)
+    assert (rows(None), rows(9)) == held
+
+
 def test_small_cycles(spark):
     assert G.small_cycles(edges(spark, [(3, 1), (1, 2), (2, 3), (2, 4), (5, 5)])) == [[1, 2, 3], [5]]
     with pytest.raises(ValueError):
