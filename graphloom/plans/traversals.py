@@ -202,7 +202,7 @@ def pairs(t):
 @plan("v06_clusters")
 def clusters(t):
     v = t.embeddings.select(F.col("vec_id").alias("id"), "embedding")
-    return S.greedy_clusters(S.all_cosine_pairs(v, 0.3), v.select("id"))
+    return S.cosine_clusters(v, 0.3)
 
 
 @plan("v08_lexical", """
