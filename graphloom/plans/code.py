@@ -151,7 +151,7 @@ def merged(t):
     """Sessions as clusters, similar as their vectors are."""
     sessions = t.ledger.groupBy(c("session_id").alias("id")).agg(F.count("*").alias("events"), F.max("event_type").alias("intent"), F.lit(0.5).alias("confidence"))
     v = t.embeddings.select(c("vec_id").alias("id"), "embedding").join(sessions.select("id"), "id", "left_semi")
-    return L.merge_similar(sessions, S.all_cosine_pairs(v, 0.3), 0.35)
+    return L.merge_clusters(sessions, S.cosine_clusters(v, 0.35))
 
 
 @plan("t07_retention", 'WITH o AS (SELECT session_id FROM ledger GROUP BY session_id HAVING max(ledger."at") >= 0.99 * (SELECT max(ledger."at") FROM ledger)) SELECT seq, session_id FROM ledger WHERE session_id IN (SELECT session_id FROM o)')
