@@ -143,7 +143,7 @@ def dependency_order(t):
 @plan("v06_cohesion")
 def cohesion(t):
     v = t.embeddings.select(c("vec_id").alias("id"), "embedding")
-    return S.cohesion(S.cosine_clusters(v, 0.3, most=50))
+    return S.cohesion(S.cosine_clusters(v, 0.3))
 
 
 @plan("t08_merged")
